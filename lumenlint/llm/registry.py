@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL, in the order of their operators.
-MODULES = ("line_dedup", "quality", "mixing", "exact_dedup")
+MODULES = ("line_dedup", "quality", "simhash", "pieces", "mixing", "exact_dedup")
 
 
 def _merged(what: str) -> dict:
