@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL, in the order of their operators.
-MODULES = ("toxicity", "line_dedup", "quality", "langid", "simhash", "pieces", "mixing", "exact_dedup", "urls")
+MODULES = ("toxicity", "line_dedup", "quality", "langid", "sharding", "simhash", "pieces", "mixing", "exact_dedup", "urls")
 
 
 def _merged(what: str) -> dict:
