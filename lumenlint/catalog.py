@@ -78,11 +78,9 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def look_up(c: Column, table: dict, default=None) -> Column:
-    """A constant table as a CASE expression, which stays in generated code."""
-    out = F
-    for k, v in table.items():
-        out = out.when(c == k, F.lit(v))
-    return out.otherwise(F.lit(default))
+    """A constant table as a map literal: one lookup, however large the table, where a CASE would outgrow generated code."""
+    found = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[c]
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def severity_rank(c: Column) -> Column:

@@ -1,0 +1,80 @@
+"""Rules that need lines only: secrets, markers, directives, line counts, backup and environment files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+NEWLINE = r"\r\n|\r|\n"
+MARKERS = ("FIXME", "HACK", "TODO", "XXX")
+#: name, pattern, severity, confidence. Patterns are in the common subset of Java's and RE2's regular expressions.
+SECRETS = (
+    ("cloud key id", r"\b(AKIA|ASIA)[A-Z2-7]{16}\b", "HIGH", "HIGH"),
+    ("hosting token", r"\bgh[oprsu]_[A-Za-z0-9]{36}\b", "HIGH", "LOW"),
+    ("payment key", r"\b[rs]k_live_[A-Za-z0-9]{16,}\b", "HIGH", "HIGH"),
+    ("mail key", r"\bSG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}\b", "HIGH", "HIGH"),
+    ("map key", r"\bAIza[A-Za-z0-9_-]{35}\b", "HIGH", "HIGH"),
+    ("registry token", r"\bnpm_[A-Za-z0-9]{36}\b", "HIGH", "HIGH"),
+    ("private key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", "HIGH", "HIGH"),
+    ("web token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "HIGH", "HIGH"),
+    ("database password", r"\b[a-z]+(\+[a-z]+)?://[A-Za-z0-9_.-]+:[^@/: ]{3,}@[A-Za-z0-9.-]+", "HIGH", "MEDIUM"),
+    ("assigned secret", r"(?i)(api[_-]?key|password|secret|token)[\"']?[ \t]*[:=][ \t]*[\"'][A-Za-z0-9+/_=-]{20,}[\"']", "HIGH", "MEDIUM"),
+)
+
+
+def lines(files: DataFrame, text: str = "text") -> DataFrame:
+    """file, line (from 1), text of each line."""
+    return files.select("file", F.posexplode(F.split(F.col(text), NEWLINE, -1)).alias("at", "line_text")).select("file", (F.col("at") + 1).alias("line"), F.col("line_text").alias("text"))
+
+
+def line_count(text: Column) -> Column:
+    """0 for blank text, else the number of parts between line ends."""
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), F.size(F.split(text, NEWLINE, -1))).otherwise(0)
+
+
+def comment_lines(text: Column) -> Column:
+    """Lines that begin as a comment does."""
+    return F.regexp_count(text, F.lit(r"(?m)^[ \t]*(//|/\*|\*)"))
+
+
+def secrets(rows: DataFrame) -> DataFrame:
+    """file, line, what, severity, confidence, evidence: the first pattern that fits each line; the secret itself is masked.
+
+    One alternation of all patterns prunes lines before the patterns are told apart.
+    """
+    any_of = F.lit(False)
+    for _, p, _, _ in SECRETS:
+        any_of = any_of | F.col("text").rlike(p)
+    hit, found = rows.filter(any_of), F
+    for what, p, severity, confidence in SECRETS:
+        shown = F.regexp_extract("text", "(" + p + ")", 1)
+        found = found.when(F.col("text").rlike(p), F.struct(F.lit(what).alias("what"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.concat(F.substring(shown, 1, 4), F.lit("***")).alias("evidence")))
+    return hit.select("file", "line", found.alias("f")).select("file", "line", "f.*")
+
+
+def markers(rows: DataFrame) -> DataFrame:
+    """file, line, marker: every marker word that stands after a comment sign on its line."""
+    comment = F.regexp_extract("text", r"(//|#|/\*|<!--)(.*)$", 2)
+    return rows.select("file", "line", F.explode(F.regexp_extract_all(comment, F.lit(r"\b(" + "|".join(MARKERS) + r")\b"), 1)).alias("marker"))
+
+
+def directives(rows: DataFrame) -> DataFrame:
+    """file, at (the line that a directive silences; null: the whole file), rules (null: all)."""
+    p = r"(?i)lumen-ignore-(next-line|file)([ \t]+([A-Z]{2,}[0-9]{3}([ \t]*,[ \t]*[A-Z]{2,}[0-9]{3})*))?"
+    got = rows.filter(F.col("text").rlike(p)).select("file", "line", F.lower(F.regexp_extract("text", p, 1)).alias("what"), F.upper(F.regexp_extract("text", p, 3)).alias("ids"))
+    return got.select("file", F.when(F.col("what") == "next-line", F.col("line") + 1).alias("at"), F.when(F.col("ids") != "", F.split("ids", r"[ \t]*,[ \t]*")).alias("rules"))
+
+
+def backup_and_env_files(paths: DataFrame) -> DataFrame:
+    """path, rule_id of backup and environment files."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    env = name.rlike(r"^\.env(\.|$)") & ~name.rlike(r"(?i)\.(dist|example|sample|template)$")
+    rule = F.when(name.rlike(r"(\.(bak|orig|tmp)|~)$"), "HYGIENE003").when(env, "HYGIENE004")
+    return paths.select("path", rule.alias("rule_id")).filter("rule_id IS NOT NULL")
+
+
+def unchecked_types(rows: DataFrame) -> DataFrame:
+    """file, line, severity, confidence of comments that switch type checking off; an explained expectation is fine."""
+    p = r"(//|/\*|\*)[ \t]*@ts-(ignore|nocheck|expect-error)\b[ \t:-]*(.*)$"
+    got = rows.filter(F.col("file").rlike(r"\.tsx?$") & F.col("text").rlike(p)).select("file", "line", F.regexp_extract("text", p, 2).alias("d"), (F.length(F.btrim(F.regexp_replace(F.regexp_extract("text", p, 3), r"\*/", ""))) >= 4).alias("why"))
+    return got.filter(~((F.col("d") == "expect-error") & F.col("why"))).select("file", "line", F.when((F.col("d") == "ignore") & F.col("why"), "LOW").otherwise("MEDIUM").alias("severity"), F.when(F.col("why"), "MEDIUM").otherwise("HIGH").alias("confidence"))

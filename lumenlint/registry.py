@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("relational",)
+
+
+def _merged(what: str) -> dict:
+    return {k: v for m in MODULES for k, v in getattr(importlib.import_module(f"{__package__}.plans.{m}"), what).items()}
+
 
 def queries() -> dict:
-    return {}
+    return _merged("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _merged("SQL")
