@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256 of each row."""
-    return encode_pieces(docs, into="__pieces").select("doc_id", "source", *[F.col("__pieces")[c].alias(c) for c in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")])
+    return encode_pieces(docs, with_text=False, into="__pieces").select("doc_id", "source", *[F.col("__pieces")[c].alias(c) for c in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")])
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]

@@ -31,7 +31,7 @@ from .common import table
 
 BLANK = "▁"
 STEP_CHARS = 48  # units of at most so many characters are encoded in step
-MEMORY_UNITS = 400_000  # units kept per process
+MEMORY_UNITS = 250_000  # units kept per process
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -332,19 +332,25 @@ def _encoder(data: bytes) -> Encoder:
     return Encoder(data)
 
 
+BATCH_BYTES = 8 << 20  # of texts that reach Python at once
 CHECK_CHARS = 20_000  # of each batch, the first text of at most so many characters is checked against the library
 
 
-def encoder_udf(data: bytes, with_ids: bool):
-    """A function from text to struct(n_tokens, ids_sha256, decoded_sha256[, ids, decoded]). Null is an empty text."""
+def encoder_udf(data: bytes, with_ids: bool, with_text: bool):
+    """A function from text to struct(n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]). Null is an empty text.
+
+    Results leave in pieces of 256 rows, so ids and texts of one piece are in memory, not those of a whole Arrow batch.
+    """
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(data)
         for texts in batches:
             texts = ["" if t is None else t for t in texts]
-            rows = []
+            if not texts:
+                yield pd.DataFrame([], columns=columns)
             for at in range(0, len(texts), 256):
-                some = texts[at : at + 256]
+                some, rows = texts[at : at + 256], []
                 checked = next((i for i, t in enumerate(some) if len(t) <= CHECK_CHARS), None) if at == 0 else None
                 for i, (t, ids) in enumerate(zip(some, encoder.encode(some))):
                     numbers = np.frombuffer(ids, "<u4").tolist()
@@ -352,10 +358,10 @@ def encoder_udf(data: bytes, with_ids: bool):
                     if i == checked:
                         encoder.check(t, ids, decoded)
                     row = (len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                    rows.append((*row, np.frombuffer(ids, "<i4"), decoded) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_ids else 3])
+                    rows.append((*row, *[np.frombuffer(ids, "<i4")] * with_ids, *[decoded] * with_text))
+                yield pd.DataFrame(rows, columns=columns)
 
-    return F.pandas_udf(encode, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))
+    return F.pandas_udf(encode, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text)
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -368,17 +374,19 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode_pieces(docs: DataFrame, text: str = "text", model: str | None = None, with_ids: bool = True, into: str = "pieces") -> DataFrame:
-    """docs with a struct column `into`: n_tokens, ids_sha256, decoded_sha256 and, unless with_ids is false, ids and decoded.
+def encode_pieces(docs: DataFrame, text: str = "text", model: str | None = None, with_ids: bool = True, with_text: bool = True, into: str = "pieces") -> DataFrame:
+    """docs with a struct column `into`: n_tokens, ids_sha256, decoded_sha256 and, unless switched off, ids and decoded.
 
+    The session's Arrow batches are set to BATCH_BYTES, which bounds a worker's memory for texts of any length.
     Ids are those of the sentencepiece library with begin and end. Null and empty texts have these two ids only, and
     decode to an empty text. Texts are encoded whole. Repeated rows are encoded alike; other columns stay as they are.
     """
-    return docs.withColumn(into, encoder_udf(model_bytes(model), with_ids)(F.col(text)))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs.withColumn(into, encoder_udf(model_bytes(model), with_ids, with_text)(F.col(text)))
 
 
 def op6_sentencepiece(spark, sf_dir):
-    out = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+    out = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False, with_text=False)
     return out.select("doc_id", "pieces.*")
 
 
