@@ -12,7 +12,9 @@ from ..operators import text_rules as T
 from ..sources import texts as X
 from .inputs import FILES_SQL, FINDINGS_SQL, KINDS_SQL, LINES_SQL, findings, table, text_files
 
-_WORDS = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+def _words():
+    return F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
 def _docs(spark, sf):
@@ -20,7 +22,7 @@ def _docs(spark, sf):
 
 
 def _windows(spark, sf):
-    return D.windows(_docs(spark, sf), _WORDS)
+    return D.windows(_docs(spark, sf), _words())
 
 
 _WINDOWS = r"""t AS (SELECT doc_id AS file, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -135,7 +137,7 @@ QUERIES = {
     "dup_pairs": lambda s, d: D.star_pairs(_windows(s, d)),
     "dup_islands": lambda s, d: D.islands(D.star_pairs(_windows(s, d))),
     "dup_clusters": _clusters,
-    "data_windows": lambda s, d: D.data_windows(_docs(s, d), _WORDS, F.transform(_WORDS, lambda w: F.when(F.length(w) <= 2, 1).otherwise(0))),
+    "data_windows": lambda s, d: D.data_windows(_docs(s, d), _words(), F.transform(_words(), lambda w: F.when(F.length(w) <= 2, 1).otherwise(0))),
     "nearest_owner_prefix": _owners,
     "diff_hunks": lambda s, d: X.diff_hunks(_lines_of(s, DIFF)),
     "fence_imports": lambda s, d: X.prose_imports(_lines_of(s, PROSE)).select("line", "target"),
