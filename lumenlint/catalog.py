@@ -9,7 +9,7 @@ SEVERITIES = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 CONFIDENCES = ("LOW", "MEDIUM", "HIGH", "CERTAIN")
 SEVERITY_COST = dict(zip(SEVERITIES, (0.0, 0.8, 1.5, 2.5, 3.0)))
 CONFIDENCE_SHARE = dict(zip(CONFIDENCES, (0.3, 0.6, 0.8, 1.0)))
-#: Percent of the overall score. They add up to 90: the blend divides by their sum.
+#: Percent of the overall score. The blend divides by the sum of those that count.
 CATEGORY_PERCENT = {
     "security": 15, "complexity": 15, "deadCode": 15, "dependencies": 10, "duplication": 10,
     "errorHandling": 10, "typescript": 10, "redundantLogic": 5, "architecture": 5, "hygiene": 5,

@@ -134,7 +134,8 @@ def rings(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     if found is None:
         return loops
     large = found.groupBy("ring").agg(F.count("*").alias("n")).filter("n > 1").select("ring")
-    return found.join(large, "ring", "left_semi").select("node", "ring").unionByName(loops).distinct()
+    found = materialise(found.join(large, "ring", "left_semi").select("node", "ring"), "rings")
+    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
 
 
 def shortest_rings(edges: DataFrame, ring: DataFrame, max_rounds: int = 60) -> DataFrame:

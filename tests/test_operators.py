@@ -34,7 +34,7 @@ def test_damping_and_drains(spark):
     many = spark.createDataFrame([finding()] * 100, FINDING)
     costs = S.rule_costs(many, 500.0)
     assert costs.first().cost == pytest.approx(2 + __import__("math").log(149))
-    assert S.drains(costs).first().lost == pytest.approx(15 / 90 * costs.first().cost)
+    assert S.drains(costs).first().lost == pytest.approx(15 / 100 * costs.first().cost)
 
 
 @pytest.mark.parametrize(
