@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "texts", "graphs")
+MODULES = ("relational", "texts", "graphs", "code")
 
 
 def _merged(what: str) -> dict:
