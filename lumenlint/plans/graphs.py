@@ -5,34 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from .inputs import EDGES_SQL, import_edges, table
+from .inputs import EDGES_SQL, MODULES_SQL, import_edges, module, table
 
 LAYER_OF = "n_nationkey % 4"
 
 
-def _nodes(edges):
-    return edges.select(F.col("src").alias("path")).unionByName(edges.select(F.col("dst").alias("path"))).distinct()
+def _all_nodes(spark, sf):
+    return table(spark, sf, "supplier").select(module("s_suppkey").alias("path"))
 
 
-def _all_nodes(spark):
-    return spark.range(60).select(F.format_string("m%02d", "id").alias("path"))
-
-
-def _exports(spark):
+def _exports(spark, sf):
     """Each module exports three names."""
-    return _all_nodes(spark).select("path", F.explode(F.array(*[F.lit(x) for x in "abc"])).alias("name"))
+    return _all_nodes(spark, sf).select("path", F.explode(F.array(*[F.lit(x) for x in "abc"])).alias("name"))
 
 
 def _named(edges):
-    """An edge names one export of its target, by the lengths' arithmetic."""
-    n = F.substring("src", 2, 2).cast("int") + F.substring("dst", 2, 2).cast("int")
+    """An edge names one export of its target, by the numbers' arithmetic."""
+    n = F.substring("src", 2, 6).cast("int") + F.substring("dst", 2, 6).cast("int")
     return edges.select(F.col("dst").alias("path"), F.element_at(F.array(*[F.lit(x) for x in "abc"]), F.pmod(n, F.lit(3)) + 1).alias("name"))
 
 
 def _unused_exports(s, d):
     edges = import_edges(s, d)
-    whole = edges.filter("src < 'm10'").select(F.col("dst").alias("path"))
-    return G.unused_exports(_exports(s), _named(edges), whole, s.createDataFrame([("m00",), ("m01",)], "path string"))
+    whole = edges.filter(F.col("src").endswith("7")).select(F.col("dst").alias("path"))
+    return G.unused_exports(_exports(s, d), _named(edges), whole, s.createDataFrame([("m000001",), ("m000002",)], "path string"))
 
 
 def _layers(s, d):
@@ -57,10 +53,10 @@ def _resolve(s, d):
 
 
 def _declared(s, d):
-    line = table(s, d, "lineitem").select("l_suppkey", "l_partkey")
+    line = table(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_quantity")
     name = lambda c: F.concat(F.lit("dep"), F.pmod(F.col(c), F.lit(40)).cast("string"))
-    declared = line.filter("l_partkey % 3 = 0").select(F.col("l_suppkey").cast("string").alias("package"), name("l_partkey").alias("name")).distinct()
-    used = line.filter("l_partkey % 5 = 0").select(F.col("l_suppkey").cast("string").alias("package"), name("l_partkey").alias("name")).distinct()
+    declared = line.filter("l_returnflag = 'R'").select(F.col("l_suppkey").cast("string").alias("package"), name("l_partkey").alias("name")).distinct()
+    used = line.filter("l_quantity > 25").select(F.col("l_suppkey").cast("string").alias("package"), name("l_partkey").alias("name")).distinct()
     return declared, used
 
 
@@ -87,7 +83,7 @@ def _shortest(s, d):
 
 QUERIES = {
     "import_edges": import_edges,
-    "unused_nodes": lambda s, d: G.unused_files(_all_nodes(s), import_edges(s, d), s.createDataFrame([("m00",)], "path string")),
+    "unused_nodes": lambda s, d: G.unused_files(_all_nodes(s, d), import_edges(s, d), s.createDataFrame([("m000001",)], "path string")),
     "unused_exports": _unused_exports,
     "forbidden_layer": _forbidden,
     "resolve_priority": _resolve,
@@ -96,19 +92,19 @@ QUERIES = {
     "reachable_closure": lambda s, d: G.closure(import_edges(s, d)),
     "cycle_components": _rings,
     "shortest_cycle": _shortest,
-    "clone_components": lambda s, d: G.components(import_edges(s, d).filter("src < 'm30' AND dst < 'm30'").select(F.col("src").alias("u"), F.col("dst").alias("v"))),
+    "clone_components": lambda s, d: G.components(import_edges(s, d).select(F.col("src").alias("u"), F.col("dst").alias("v"))),
 }
 
-_NAMED = "SELECT dst AS path, (ARRAY['a', 'b', 'c'])[((substr(src, 2, 2)::INTEGER + substr(dst, 2, 2)::INTEGER) % 3) + 1] AS name FROM edges"
-_DEPS = """n AS (SELECT l_suppkey::VARCHAR AS package, 'dep' || (l_partkey % 40)::VARCHAR AS name, l_partkey FROM lineitem),
-declared AS (SELECT DISTINCT package, name FROM n WHERE l_partkey % 3 = 0), used AS (SELECT DISTINCT package, name FROM n WHERE l_partkey % 5 = 0)"""
+_NAMED = "SELECT dst AS path, (ARRAY['a', 'b', 'c'])[((substr(src, 2, 6)::INTEGER + substr(dst, 2, 6)::INTEGER) % 3) + 1] AS name FROM edges"
+_DEPS = """n AS (SELECT l_suppkey::VARCHAR AS package, 'dep' || (l_partkey % 40)::VARCHAR AS name, l_returnflag, l_quantity FROM lineitem),
+declared AS (SELECT DISTINCT package, name FROM n WHERE l_returnflag = 'R'), used AS (SELECT DISTINCT package, name FROM n WHERE l_quantity > 25)"""
 _REACH = f"""WITH RECURSIVE {EDGES_SQL}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)"""
 _RING = "ring AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS ring FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"
 SQL = {
     "import_edges": f"WITH {EDGES_SQL} SELECT * FROM edges",
-    "unused_nodes": f"WITH {EDGES_SQL} SELECT 'm' || lpad(i::VARCHAR, 2, '0') AS path FROM range(60) t(i) WHERE i > 0 AND 'm' || lpad(i::VARCHAR, 2, '0') NOT IN (SELECT dst FROM edges)",
-    "unused_exports": f"""WITH {EDGES_SQL}, named AS ({_NAMED}), x AS (SELECT 'm' || lpad(i::VARCHAR, 2, '0') AS path, unnest(ARRAY['a', 'b', 'c']) AS name FROM range(60) t(i))
-SELECT path, name FROM x WHERE path NOT IN ('m00', 'm01') AND path NOT IN (SELECT dst FROM edges WHERE src < 'm10') AND NOT EXISTS (SELECT 1 FROM named n WHERE n.path = x.path AND n.name = x.name)""",
+    "unused_nodes": f"WITH {EDGES_SQL}, {MODULES_SQL} SELECT path FROM modules WHERE path <> 'm000001' AND path NOT IN (SELECT dst FROM edges)",
+    "unused_exports": f"""WITH {EDGES_SQL}, {MODULES_SQL}, named AS ({_NAMED}), x AS (SELECT path, unnest(ARRAY['a', 'b', 'c']) AS name FROM modules)
+SELECT path, name FROM x WHERE path NOT IN ('m000001', 'm000002') AND path NOT IN (SELECT dst FROM edges WHERE src LIKE '%7') AND NOT EXISTS (SELECT 1 FROM named n WHERE n.path = x.path AND n.name = x.name)""",
     "forbidden_layer": f"""SELECT a.n_name AS src, b.n_name AS dst, 'layer' || (a.{LAYER_OF})::VARCHAR AS layer, 'layer' || (b.{LAYER_OF})::VARCHAR AS target FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey
 WHERE (a.{LAYER_OF}, b.{LAYER_OF}) IN ((0, 1), (2, 3), (1, 2))""",
     "resolve_priority": "SELECT p_partkey AS importer, 'lib/p' || p_partkey AS target, 'lib/p' || p_partkey || CASE WHEN p_partkey % 8 = 0 THEN '.ts' WHEN p_partkey % 4 = 0 THEN '.js' WHEN p_partkey % 4 = 1 THEN '/index.ts' WHEN p_partkey % 4 = 2 THEN '.ts' END AS resolved FROM part",
@@ -119,8 +115,8 @@ SELECT package, name FROM declared d WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.p
     "reachable_closure": f"{_REACH} SELECT src, dst FROM reach",
     "cycle_components": f"{_REACH}, {_RING} SELECT node, ring FROM ring",
     "shortest_cycle": f"""{_REACH}, {_RING}, inner_edges AS (SELECT r.ring, e.src, e.dst FROM edges e JOIN ring r ON e.src = r.node JOIN ring q ON e.dst = q.node AND r.ring = q.ring),
-walk AS (SELECT DISTINCT ring, ring AS node, 1 AS length FROM ring UNION SELECT w.ring, e.dst, w.length + 1 FROM walk w JOIN inner_edges e ON w.ring = e.ring AND w.node = e.src WHERE w.length <= 40)
+walk AS (SELECT DISTINCT ring, ring AS node, 1 AS length FROM ring UNION SELECT w.ring, e.dst, w.length + 1 FROM walk w JOIN inner_edges e ON w.ring = e.ring AND w.node = e.src WHERE w.length <= 400)
 SELECT ring, min(length)::INTEGER AS length, ring AS first, ring AS last FROM walk WHERE node = ring AND length > 1 GROUP BY ring""",
-    "clone_components": f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT src AS u, dst AS v FROM edges WHERE src < 'm30' AND dst < 'm30' AND src <> dst UNION SELECT dst, src FROM edges WHERE src < 'm30' AND dst < 'm30' AND src <> dst),
+    "clone_components": f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT src AS u, dst AS v FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
 r AS (SELECT u AS node, v AS reach FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reach = e.u) SELECT node, least(node, min(reach)) AS component FROM r GROUP BY node""",
 }

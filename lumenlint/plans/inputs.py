@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import RULES, look_up
@@ -74,15 +74,22 @@ lines AS (SELECT file, unnest(p) AS text, generate_subscripts(p, 1) AS line FROM
 
 
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: parts that follow each other in an order, folded to 60 modules; few orders, so that rings stay apart."""
-    from pyspark.sql import Window as W
+    """src, dst: every supplier is a module that imports the one its balance names; those of five nations import their successor too."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    n = F.lit(max(1, s.count()))
+    named = F.pmod(F.floor(F.abs("s_acctbal") * 100).cast("long"), n) + 1
+    after = F.pmod(F.col("s_suppkey").cast("long"), n) + 1
+    both = s.select("s_suppkey", F.explode(F.when(F.col("s_nationkey") < 5, F.array(named, after)).otherwise(F.array(named))).alias("to"))
+    return both.select(module("s_suppkey").alias("src"), module("to").alias("dst")).distinct()
 
-    line = table(spark, sf_dir, "lineitem").filter("l_orderkey < 30").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    nxt = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    name = lambda c: F.format_string("m%02d", F.pmod(F.col(c), F.lit(60)))
-    return line.withColumn("n", nxt).filter("n IS NOT NULL").select(name("l_partkey").alias("src"), name("n").alias("dst")).distinct()
 
+def module(c: str) -> Column:
+    return F.concat(F.lit("m"), F.lpad(F.col(c).cast("string"), 6, "0"))
 
-EDGES_SQL = """o AS (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem WHERE l_orderkey < 30),
-edges AS (SELECT DISTINCT 'm' || lpad((l_partkey % 60)::VARCHAR, 2, '0') AS src, 'm' || lpad((n % 60)::VARCHAR, 2, '0') AS dst FROM o WHERE n IS NOT NULL)"""
+
+_MODULE = lambda c: f"'m' || lpad(({c})::VARCHAR, 6, '0')"
+EDGES_SQL = f"""sn AS (SELECT s_suppkey, s_nationkey, s_acctbal, count(*) OVER () AS n FROM supplier),
+st AS (SELECT s_suppkey, floor(abs(s_acctbal) * 100)::BIGINT % n + 1 AS t FROM sn UNION ALL SELECT s_suppkey, s_suppkey % n + 1 FROM sn WHERE s_nationkey < 5),
+edges AS (SELECT DISTINCT {_MODULE('s_suppkey')} AS src, {_MODULE('t')} AS dst FROM st)"""
+MODULES_SQL = f"modules AS (SELECT {_MODULE('s_suppkey')} AS path FROM supplier)"
 KINDS_SQL = lambda c: "CASE " + " ".join(f"WHEN regexp_matches({c}, '" + "|".join(f"({x.replace('(?i)', '(?i:') + ')' if x.startswith('(?i)') else x})" for x in ps) + f"') THEN '{k}'" for k, ps in KINDS) + " ELSE 'production' END"

@@ -51,21 +51,21 @@ def _directives(spark, sf):
 
 
 def _labels(spark, sf):
-    f = findings(spark, sf).filter("col = 5").select("repo", "rule_id", "file", "line").distinct()
+    f = findings(spark, sf).filter("confidence = 'LOW'").select("repo", "rule_id", "file", "line").distinct()
     more = f.filter("line % 4 = 0").withColumn("line", F.col("line") + 1000)
     return f.unionByName(more).withColumn("verdict", F.col("line") % 5 != 0)
 
 
-_LABELS = """l0 AS (SELECT DISTINCT repo, rule_id, file, line FROM findings WHERE col = 5),
+_LABELS = """l0 AS (SELECT DISTINCT repo, rule_id, file, line FROM findings WHERE confidence = 'LOW'),
 labels2 AS (SELECT *, line % 5 <> 0 AS verdict FROM (SELECT * FROM l0 UNION ALL SELECT repo, rule_id, file, line + 1000 FROM l0 WHERE line % 4 = 0))"""
 
 
 def _cases(spark, sf):
-    f = findings(spark, sf).filter("col = 9").select("rule_id", "file", "line").distinct()
+    f = findings(spark, sf).filter("severity = 'CRITICAL'").select("rule_id", "file", "line").distinct()
     return f.select(F.concat_ws("/", "rule_id", "file", F.col("line").cast("string")).alias("id"), "rule_id", "file", F.when(F.col("line") % 3 == 0, F.col("line") + 500).when(F.col("line") % 3 == 1, F.col("line")).alias("at"))
 
 
-_CASES = """c0 AS (SELECT DISTINCT rule_id, file, line FROM findings WHERE col = 9),
+_CASES = """c0 AS (SELECT DISTINCT rule_id, file, line FROM findings WHERE severity = 'CRITICAL'),
 cases AS (SELECT concat_ws('/', rule_id, file, line) AS id, rule_id, file, CASE WHEN line % 3 = 0 THEN line + 500 WHEN line % 3 = 1 THEN line END AS at FROM c0)"""
 _DECOYS = f"""{_CASES}, decoys AS (SELECT row_number() OVER (ORDER BY id) AS ordinal, id, rule_id, file, "at", CASE WHEN length(id) % 2 = 0 THEN 'MEDIUM' END AS tolerate FROM cases)"""
 
