@@ -54,10 +54,16 @@ def _reader(limits: dict[str, int] | None):
     return read
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files over as many tasks as the session shuffles to. Parsing is slow for its bytes, so small partitions aren't joined."""
+    spark = files.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return files.select("file", "text").repartition(parts, "file")
+
+
 def code_facts(files: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """file and an array of structs for each relation of SHAPES, in the shared folder. files: file, text; null texts are empty."""
-    dealt = files.select("file", "text").repartition(F.col("file"))
-    return materialise(dealt.mapInPandas(_reader(limits), _SCHEMA), "code-facts")
+    return materialise(_dealt(files).mapInPandas(_reader(limits), _SCHEMA), "code-facts")
 
 
 def relation(read: DataFrame, name: str) -> DataFrame:
@@ -113,4 +119,4 @@ def code_windows(files: DataFrame, width: int = WIDTH, step: int = 5) -> DataFra
                         rows.append((file, at, tokens[at][1], tokens[at + width - 1][1], hashlib.sha1(" ".join(renamed(some)).encode("utf-8", "surrogatepass")).hexdigest()))
                 yield pd.DataFrame(rows, columns=["file", "start", "line", "last", "hash"])
 
-    return files.select("file", "text").repartition(F.col("file")).mapInPandas(cut, "file string, start int, line int, last int, hash string")
+    return _dealt(files).mapInPandas(cut, "file string, start int, line int, last int, hash string")

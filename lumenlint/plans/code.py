@@ -11,10 +11,12 @@ from ..operators import code as C
 from ..operators import findings as FD
 from ..operators import flows as FL
 from ..operators import reports as RP
+from ..operators import text_rules as T
+from ..sources import reports as RS
 from .inputs import FINDINGS_SQL, findings, table
 from .relational import _SR, _accuracy_now
 from .scan import function_measures, scan
-from .texts import _values
+from .texts import _lines_of, _values
 
 #: (text, [(rule, line, severity, confidence)]): an event's file is the template of its number.
 TEMPLATES = [
@@ -88,6 +90,16 @@ REPOSITORY = {
 }
 SCANNED = [("DEAD009", "src/total.ts", 3), ("DEAD010", "src/orphan.ts", 1), ("DEP001", "package.json", 1), ("DEP002", "src/start.ts", 3), ("DEP003", "src/rate.ts", 1), ("HYGIENE003", "src/old.ts.bak", 1), ("HYGIENE004", ".env", 1)]
 
+SECRET_REPORT = '[{"RuleID": "key", "Description": "A key", "File": "a.ts", "StartLine": 3, "StartColumn": 5, "Secret": "x"}]'
+UNUSED_REPORT = '{"files": ["old.ts"], "issues": [{"file": "package.json", "dependencies": [{"name": "lib"}], "exports": []}, {"file": "b.ts", "exports": [{"name": "f", "line": 4, "col": 2}]}]}'
+MARKED = "let a; // planted: key-1\nlet b; // planted: key-10\n// decoy: safe\nlet c; // planted: key-1"
+CONFIGS = [
+    ("tsconfig.json", '{ // paths\n "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"], "@/ui/*": ["ui/*/index"], "exact": ["src/one"],}}}'),
+    ("web/vite.config.ts", "export default { resolve: { alias: { '@app': './src', util: './u' } } }"),
+    ("rollup.config.js", "alias({ entries: [{ find: 'core', replacement: './core' }] })"),
+]
+ALIASED = [("@/a/b", "src/a/b"), ("@/ui/box", "ui/box/index"), ("exact", "src/one"), ("exactly", None), ("react", None)]
+
 
 def _files(spark, files: dict[str, str]):
     return spark.createDataFrame([(k, len(v), v) for k, v in files.items()], "file string, size long, text string")
@@ -156,6 +168,11 @@ QUERIES = {
     "json_lines": lambda s, d: RP.json_lines(findings(s, d)).select(F.get_json_object("value", "$.rule_id").alias("rule_id"), F.get_json_object("value", "$.file").alias("file")).groupBy("rule_id", "file").agg(F.count("*").alias("findings")),
     "baseline_compare": _baseline,
     "accuracy_rows": lambda s, d: RP.accuracy_rows(_accuracy_now(s, d)).select("rule_id"),
+    "secret_report": lambda s, d: RS.secret_report(s.createDataFrame([(SECRET_REPORT,)], "text string")).drop("evidence"),
+    "unused_report": lambda s, d: RS.unused_report(s.createDataFrame([(UNUSED_REPORT,)], "text string")).select("rule_id", "category", "file", "line", "evidence"),
+    "marked_lines": lambda s, d: RS.marked_lines(_lines_of(s, MARKED)).drop("file"),
+    "path_aliases": lambda s, d: RS.resolve_aliases(s.createDataFrame([(t,) for t, _ in ALIASED], "target string"), RS.path_aliases(s.createDataFrame(CONFIGS, "file string, text string"))),
+    "bundler_aliases": lambda s, d: RS.bundler_aliases(s.createDataFrame(CONFIGS, "file string, text string")),
     **{f"rule_{r}": _rule(r) for r in FIXTURES},
 }
 
@@ -182,5 +199,10 @@ SELECT count(*) AS functions, round(coalesce(avg(lines), 0.0::DOUBLE), 6) AS mea
 b AS (SELECT repo, score, CASE repo WHEN 'repo0' THEN score + 0.25::DOUBLE WHEN 'repo1' THEN score - 0.5::DOUBLE END AS was FROM n)
 SELECT repo, score, was, CASE repo WHEN 'repo0' THEN -0.3::DOUBLE WHEN 'repo1' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS delta, CASE repo WHEN 'repo0' THEN 'regression' WHEN 'repo1' THEN 'improved' ELSE 'no change' END AS verdict FROM b""",
     "accuracy_rows": "SELECT * FROM (VALUES " + ", ".join(f"('{r}')" for r in RULES) + ") AS t(rule_id)",
+    "secret_report": _values("rule_id, category, severity, confidence, file, line, col", [("EXT:key", "security", "HIGH", "HIGH", "a.ts", 3, 5)]),
+    "unused_report": _values("rule_id, category, file, line, evidence", [("EXT:files", "deadCode", "old.ts", 1, "old.ts"), ("EXT:dependencies", "dependencies", "package.json", 1, "lib"), ("EXT:exports", "deadCode", "b.ts", 4, "f")]),
+    "marked_lines": _values("id, what, line", [("key-1", "planted", 1), ("key-10", "planted", 2), ("safe", "decoy", 3)]),
+    "path_aliases": _values("target, path", ALIASED),
+    "bundler_aliases": _values("file, alias", [("web/vite.config.ts", "@app"), ("web/vite.config.ts", "util"), ("rollup.config.js", "core")]),
     **{f"rule_{r}": _values("rule_id, line, severity, confidence", [(r, *x) for x in v[2]]) for r, v in FIXTURES.items()},
 }

@@ -17,6 +17,7 @@ from ..operators import flows as FL
 from ..operators import graph as G
 from ..operators import scoring as S
 from ..operators import text_rules as T
+from ..sources import reports as RS
 from ..sources import repository as R
 from ..sources import texts as X
 
@@ -46,9 +47,11 @@ def finding(df: DataFrame, rule: str, evidence: Column, severity: Column | None
     return df.select(F.lit(rule).alias("rule_id"), F.lit(c[0]).alias("category"), given(severity, c[1]).alias("severity"), given(confidence, c[2]).alias("confidence"), "file", given(line, 1).cast("int").alias("line"), given(col, 1).cast("int").alias("col"), evidence.alias("evidence"))
 
 
-def resolved_edges(read: DataFrame, files: DataFrame) -> DataFrame:
-    """src, dst, kind, names, type_only, line of imports between files."""
-    edges = C.relation(read, "edges").filter("path IS NOT NULL")
+def resolved_edges(read: DataFrame, files: DataFrame, everything: DataFrame) -> DataFrame:
+    """src, dst, kind, names, type_only, line of imports between files, by relative paths and by aliases of the compiler."""
+    every = C.relation(read, "edges")
+    aliases = RS.path_aliases(everything)
+    edges = every.filter("path IS NOT NULL").unionByName(RS.resolve_aliases(every.filter("path IS NULL"), aliases).filter("path IS NOT NULL"))
     # A compiled name (./a.js) stands for its source (a.ts) where only that exists.
     plain = G.resolve(edges.select("file", F.col("path").alias("target"), "kind", "names", "type_only", "line"), files.select(F.col("file").alias("path")))
     bare = plain.filter("resolved IS NULL").drop("resolved").withColumn("target", F.regexp_replace("target", r"\.[cm]?jsx?$", ""))
@@ -98,6 +101,9 @@ def dependency_findings(read: DataFrame, everything: DataFrame) -> list[DataFram
     declared = materialise(declared.select(root.alias("root"), F.col("package").alias("name"), "section").distinct(), "declared")
     imports = C.relation(read, "edges").filter(X.is_bare(F.col("target"))).select("file", X.package_name(F.col("target")).alias("name"), "line")
     owners = G.nearest_owner(imports.select(F.col("file").alias("path")).distinct(), declared.select("root").unionByName(everything.filter(F.col("file").rlike(r"(^|/)package\.json$")).select(root.alias("root"))).distinct())
+    aliased = RS.resolve_aliases(C.relation(read, "edges").select("file", "target"), RS.path_aliases(everything)).filter("path IS NOT NULL").select(X.package_name(F.col("target")).alias("name"))
+    named = RS.bundler_aliases(everything).select(X.package_name(F.regexp_replace("alias", r"[\^$]|/?\*$|/$", "")).alias("name"))
+    imports = imports.join(aliased.unionByName(named).distinct(), "name", "left_anti")
     used = materialise(imports.join(owners, imports["file"] == owners["path"]).select("file", F.coalesce("root", F.lit("")).alias("root"), "name", "line"), "used")
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(@[\w.-]+/[\w.-]+|[\w][\w.-]*)"), 1))
     mentions = everything.filter(F.col("file").rlike(r"(?i)(\.config\.[cm]?[jt]s|rc(\.json|\.[cm]?js|\.ya?ml)?|tsconfig[^/]*\.json|\.(ya?ml|css|scss|less|sass)|dockerfile|makefile)$") & ~F.col("file").rlike(r"lock")).select(F.explode(words).alias("name"))
@@ -178,7 +184,7 @@ def scan(files: DataFrame, config: dict | None = None) -> Scan:
     source = roled.filter("role = 'source'")
     rules = config.get("rules", {})
     read = C.code_facts(source, {r: v["max"] for r, v in rules.items() if isinstance(v, dict) and isinstance(v.get("max"), int)})
-    edges = materialise(resolved_edges(read, source), "edges")
+    edges = materialise(resolved_edges(read, source, everything), "edges")
     patterns = materialise(C.findings(read), "patterns")
     layers = config.get("architecture", {}).get("layers", {})
     parts = [
