@@ -1,14 +1,22 @@
 """Modules as a graph: resolution, ownership, unused parts, layers, rings, closures and components.
 
 Iterations write each round as a table in the shared folder. None collects nodes or edges to the driver; only counts are.
+Rings, shortest rings and components of a graph of at most SMALL edges, which are counted, are found in one task by the
+textbook algorithm: a round of joins costs more than all of them there. Larger graphs take the joins; results are the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.state import materialise
+from .components import connected, ring_paths, strongly_connected
+
+SMALL = 100_000  # edges; some tens of MB in one task
 
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
@@ -79,16 +87,34 @@ def unlisted_dependencies(imported: DataFrame, declared: DataFrame, builtins: Da
     return left.join(declared.filter("package = ''").select("name").unionByName(builtins.select("name")).distinct(), "name", "left_anti")
 
 
-def closure(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """src, dst of all pairs with a path (of one edge or more). Paths double each round. For graphs whose pairs are few."""
-    pairs = materialise(edges.select("src", "dst").distinct(), "closure")
-    n = pairs.count()
+def _in_one_task(df: DataFrame, found: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """Runs on a table whose size has been checked."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            yield pd.DataFrame(found(pd.concat(parts, ignore_index=True)), columns=names)
+
+    return df.coalesce(1).mapInPandas(run, schema)
+
+
+def closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """src, dst of all pairs with a path (of one edge or more). For graphs whose pairs are few enough to be a table.
+
+    Steps of up to eight edges come first, by doubling. Then only pairs that are new in a round are taken on by a step:
+    the work is that of the result times a step's width, and the rounds are an eighth of the longest shortest path.
+    """
+    compose = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+    step = materialise(edges.select("src", "dst").distinct(), "steps")
+    for _ in range(3):
+        step = materialise(step.unionByName(compose(step, step)).distinct(), "steps")
+    known = new = step
     for _ in range(max_rounds):
-        longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        pairs = materialise(pairs.unionByName(longer).distinct(), "closure")
-        n, before = pairs.count(), n
-        if n == before:
-            return pairs
+        new = materialise(compose(new, step).distinct().join(known, ["src", "dst"], "left_anti"), "closure")
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
     raise RuntimeError("the closure did not settle")
 
 
@@ -103,13 +129,15 @@ def _spread(label: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def rings(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def rings(edges: DataFrame, max_rounds: int = 200, small: int = SMALL) -> DataFrame:
     """node, ring: the strongly connected components of more than one node, or of one that imports itself; ring is the smallest node.
 
     Colouring: each node takes the smallest node that reaches it; what reaches that node back within its colour is its
     component. Found ones leave, with all that can't be in a ring, and the rest goes on.
     """
     edges = materialise(edges.select("src", "dst").distinct(), "edges")
+    if edges.count() <= small:
+        return _in_one_task(edges, lambda e: strongly_connected(e["src"].tolist(), e["dst"].tolist()), "node string, ring string")
     loops = edges.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("ring"))
     found = None
     for _ in range(max_rounds):
@@ -138,10 +166,12 @@ def rings(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
 
 
-def shortest_rings(edges: DataFrame, ring: DataFrame, max_rounds: int = 60) -> DataFrame:
+def shortest_rings(edges: DataFrame, ring: DataFrame, max_rounds: int = 1000, small: int = SMALL) -> DataFrame:
     """ring, path (nodes from the ring's smallest back to it): a shortest one, the first in order among these."""
     own = ring.select(F.col("node").alias("src"), "ring")
     inner = materialise(edges.select("src", "dst").distinct().join(own, "src").join(ring.select(F.col("node").alias("dst"), F.col("ring").alias("r2")), "dst").filter("ring = r2").select("ring", "src", "dst"), "inner")
+    if inner.count() <= small:
+        return _in_one_task(inner, lambda e: ring_paths(e["ring"].tolist(), e["src"].tolist(), e["dst"].tolist()), "ring string, path array<string>")
     walks = ring.select("ring").distinct().select("ring", F.col("ring").alias("at"), F.array("ring").alias("path"))
     seen, out = walks.select("ring", "at"), None
     for _ in range(max_rounds):
@@ -157,9 +187,12 @@ def shortest_rings(edges: DataFrame, ring: DataFrame, max_rounds: int = 60) -> D
     raise RuntimeError("rings did not close")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """node, component (its smallest reachable node), of nodes with an undirected edge (u, v): large-star and small-star rounds."""
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    if edges.count() <= small:
+        kind = dict(edges.dtypes)["u"]
+        return _in_one_task(edges, lambda e: connected(e["u"].tolist(), e["v"].tolist()), f"node {kind}, component {kind}")
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

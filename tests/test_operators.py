@@ -65,11 +65,23 @@ def test_external_findings_confirm_secrets(spark):
     assert sorted((r.rule_id, r.confidence, r.line) for r in FD.merge_external(own, tool).collect()) == [("EXT", "CERTAIN", 4), ("SEC001", "HIGH", 3), ("SEC002", "LOW", 3)]
 
 
-def test_rings_of_several_kinds(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_by_joins_and_in_one_task(spark, small):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (5, 5), (8, 7), (3, 1)], "u long, v long")
+    assert {(r.node, r.component) for r in G.components(edges, small=small).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)}
+
+
+def test_closure(spark):
+    line = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)]
+    assert G.closure(spark.createDataFrame([*line, ("z", "z")], "src string, dst string")).count() == 20 * 21 // 2 + 1
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_rings_of_several_kinds(spark, small):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("g", "a"), ("e", "h")], "src string, dst string")
-    rings = G.rings(edges)
+    rings = G.rings(edges, small=small)
     assert {(r.node, r.ring) for r in rings.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("f", "f")}
-    assert {(r.ring, tuple(r.path)) for r in G.shortest_rings(edges, rings).collect()} == {("a", ("a", "b", "c", "a")), ("d", ("d", "e", "d")), ("f", ("f", "f"))}
+    assert {(r.ring, tuple(r.path)) for r in G.shortest_rings(edges, rings, small=small).collect()} == {("a", ("a", "b", "c", "a")), ("d", ("d", "e", "d")), ("f", ("f", "f"))}
 
 
 def test_types_switched_off(spark):
