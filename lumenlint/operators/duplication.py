@@ -6,6 +6,8 @@ a star from its first file (a window's first value, which is map-side combined),
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,10 +16,19 @@ WIDTH, STEP = 60, 5
 
 
 def windows(files: DataFrame, tokens: Column, width: int = WIDTH, step: int = STEP) -> DataFrame:
-    """file, start (0-based token), hash of every step-th window of width tokens. tokens: array of strings."""
-    t = files.select("file", tokens.alias("t")).filter(F.size("t") >= width)
-    at = t.select("file", "t", F.explode(F.sequence(F.lit(0), F.size("t") - width, F.lit(step))).alias("start"))
-    return at.select("file", F.col("start").cast("int").alias("start"), F.md5(F.array_join(F.slice("t", F.col("start") + 1, width), " ")).alias("hash"))
+    """file, start (0-based token), hash of every step-th window of width tokens. tokens: array of strings.
+
+    Windows begin and end at multiples of what step and width have in common. Tokens are hashed in chunks of that many,
+    and a window over its chunks' hashes, from two seeds: 16 bytes leave each.
+    """
+    chunk = gcd(width, step)
+    # No filter on sizes: it would move below and make the tokens a second time. A null array has no windows.
+    starts = lambda c, n, by: F.when(F.size(c) >= n, F.sequence(F.lit(0), F.size(c) - n, F.lit(by)))
+    c = files.select("file", tokens.alias("t")).select("file", F.transform(starts("t", chunk, chunk), lambda i: F.xxhash64(F.slice("t", i + 1, F.lit(chunk)))).alias("c"))
+    at = starts("c", width // chunk, step // chunk)
+    each = c.select("file", F.explode(F.transform(at, lambda i: F.struct((i * chunk).alias("start"), F.slice("c", i + 1, F.lit(width // chunk)).alias("w")))).alias("x"))
+    half = lambda *seed: F.lpad(F.hex(F.xxhash64(*seed, F.col("x.w"))), 16, "0")
+    return each.select("file", F.col("x.start").cast("int").alias("start"), F.unhex(F.concat(half(), half(F.lit(1)))).alias("hash"))
 
 
 def repeated(found: DataFrame) -> DataFrame:
