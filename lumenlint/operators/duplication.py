@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.state import materialise
+
 WIDTH, STEP = 60, 5
 
 
@@ -37,10 +39,15 @@ def repeated(found: DataFrame) -> DataFrame:
 
 
 def star_pairs(found: DataFrame) -> DataFrame:
-    """a, b, a_start, b_start: the first place of a hash in its first file, with the first place in each other file."""
-    per_file = found.groupBy("hash", "file").agg(F.min("start").alias("start"))
-    first = per_file.groupBy("hash").agg(F.min(F.struct("file", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    return per_file.join(first.select("hash", "f"), "hash").filter(F.col("file") != F.col("f.file")).select(F.col("f.file").alias("a"), F.col("file").alias("b"), F.col("f.start").alias("a_start"), F.col("start").alias("b_start"))
+    """a, b, a_start, b_start: the first place of a hash in its first file, with the first place in each other file.
+
+    Hashes of one file only, which nearly all are, go after the first aggregation; the rest is a small table, so that
+    windows meet it in one more shuffle, or in none where it is small enough for Spark to broadcast.
+    """
+    first = found.groupBy("hash").agg(F.min(F.struct("file", "start")).alias("f"), F.max("file").alias("last_file")).filter(F.col("last_file") != F.col("f.file"))
+    first = materialise(first.select("hash", "f"), "repeated-windows")
+    per_file = found.join(first, "hash").filter(F.col("file") != F.col("f.file")).groupBy("hash", "file", "f").agg(F.min("start").alias("start"))
+    return per_file.select(F.col("f.file").alias("a"), F.col("file").alias("b"), F.col("f.start").alias("a_start"), F.col("start").alias("b_start"))
 
 
 def islands(pairs: DataFrame, width: int = WIDTH) -> DataFrame:
