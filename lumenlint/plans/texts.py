@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import RULES
 from ..functions import paths as P
+from ..functions.state import materialise
 from ..operators import duplication as D
 from ..operators import graph as G
 from ..operators import text_rules as T
@@ -38,7 +39,7 @@ islands AS (SELECT a, b, min(a_start)::INTEGER AS a_start, (max(a_start) + 60)::
 
 
 def _clusters(spark, sf):
-    isles = D.islands(D.star_pairs(_windows(spark, sf)))
+    isles = materialise(D.islands(D.star_pairs(_windows(spark, sf))), "islands")
     found = G.components(isles.select(F.col("a").alias("u"), F.col("b").alias("v")))
     size = found.groupBy("component").agg(F.count("*").alias("copies"))
     span = isles.join(found.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.max(F.col("a_end") - F.col("a_start")).alias("span"))
