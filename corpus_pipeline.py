@@ -18,7 +18,7 @@ from lumenlint.llm.line_dedup import dedup_lines
 from lumenlint.llm.mixing import mix
 from lumenlint.llm.pieces import encode_pieces
 from lumenlint.llm.quality import ledger, passes
-from lumenlint.llm.simhash import near_duplicates
+from lumenlint.llm.similar import similar_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component."""
-    keep = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    """The document with the smallest id of each component of near copies: SimHash links, and five-word Jaccard of 0.8 or more."""
+    keep = similar_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
 
 

@@ -38,19 +38,24 @@ CROWD = 2048  # fingerprints of a shard from which it is dealt anew
 PAIRS = 1 << 20  # (query, node) visits held in memory at once
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """Unsigned 64-bit fingerprint of a whole text; 0 without words."""
+def shingle_hashes(text: str | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of a whole text, in order; empty without words."""
     words = _WORD.findall((text or "").translate(_ASCII_LOWER) if not (text or "").isascii() else (text or "").lower())
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     data = " ".join(words).encode("utf-8", "surrogatepass")
     n = max(1, len(words) - width + 1)
     gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)  # words hold no blanks, so each gap parts two words
     starts = [0, *(gaps + 1).tolist()][:n]
     ends = [*gaps.tolist(), len(data)][-n:]
     digest = xxhash.xxh64_intdigest
-    votes = np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(data[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n)
+    return np.fromiter((digest(data[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """Unsigned 64-bit fingerprint of a whole text; 0 without words."""
+    hashes = shingle_hashes(text, width, seed)
+    n, votes = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory for very long texts
         votes += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
@@ -236,6 +241,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def fingerprint_components(rows: DataFrame, radius: int = 4) -> DataFrame:
+    """fp, component (smallest o reachable) of each distinct fingerprint. rows: o, fp."""
+    found = materialise(rows.groupBy("fp").agg(F.min("o").alias("rep")), "distinct-fingerprints")
+    linked = components(links(found, radius))
+    whole = found.join(linked, found["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return materialise(whole, "components")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable, itself included), fingerprint_bits.
 
@@ -245,10 +258,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     of = F.pandas_udf(_fingerprints, "long")
     rows = materialise(docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long").alias("o"), of(F.col(text)).alias("fp")), "fingerprints")
-    found = materialise(rows.groupBy("fp").agg(F.min("o").alias("rep")), "distinct-fingerprints")
-    linked = components(links(found, radius))
-    whole = found.join(linked, found["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    whole = materialise(whole, "components")
+    whole = fingerprint_components(rows, radius)
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return rows.join(whole, "fp").select(known("o").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known("component").alias("component_id"), F.col("fp").alias("fingerprint_bits"))
 
