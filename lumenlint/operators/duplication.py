@@ -60,6 +60,14 @@ def islands(pairs: DataFrame, width: int = WIDTH) -> DataFrame:
     return numbered.groupBy("a", "b", "shift", "island").agg(F.min("a_start").alias("a_start"), (F.max("a_start") + width).alias("a_end")).select("a", "b", "a_start", "a_end", (F.col("a_start") + F.col("shift")).alias("b_start"))
 
 
+def places(blocks: DataFrame) -> DataFrame:
+    """file, from, to of each distinct block, and place: the first `from` of the run of overlapping blocks of its file."""
+    by = W.partitionBy("file").orderBy("from", "to")
+    reach = F.max("to").over(by.rowsBetween(W.unboundedPreceding, -1))
+    marked = blocks.select("file", "from", "to").distinct().withColumn("new", F.when(reach.isNull() | (F.col("from") > reach), F.col("from")))
+    return marked.withColumn("place", F.last("new", True).over(by.rowsBetween(W.unboundedPreceding, 0))).drop("new")
+
+
 def span_severity(span: Column, width: int = WIDTH) -> Column:
     return F.when(span >= 4 * width, "HIGH").when(span >= 2 * width, "MEDIUM").otherwise("LOW")
 

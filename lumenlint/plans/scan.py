@@ -137,14 +137,27 @@ def layer_findings(edges: DataFrame, layers: dict[str, dict]) -> DataFrame:
 
 
 def duplicate_findings(files: DataFrame) -> DataFrame:
-    """DUP001, one per cluster of places, at its first. Windows, pairs, islands and clusters are joins; nothing is gathered."""
+    """DUP001, one per cluster of places, at its first. Windows, pairs, islands and clusters are joins; nothing is gathered.
+
+    A place is a run of blocks of one file whose lines overlap; places are linked by the blocks that repeat each other.
+    """
     windows = materialise(C.code_windows(files), "windows")
     isles = D.islands(D.star_pairs(windows.select("file", "start", "hash")))
-    place = windows.groupBy("file", "start").agg(F.min("line").alias("line"))
-    isles = materialise(isles.join(place.select(F.col("file").alias("a"), F.col("start").alias("a_start"), "line"), ["a", "a_start"]), "islands")
-    linked = G.components(isles.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    isles = isles.withColumn("a_last", F.col("a_end") - D.WIDTH).withColumn("b_last", F.col("b_start") + F.col("a_last") - F.col("a_start"))
+    lines = windows.groupBy("file", "start").agg(F.min("line").alias("line"), F.max("last").alias("last"))
+    for side in "ab":
+        for start, value, name in (("start", "line", "from"), ("last", "last", "to")):
+            at = lines.select(F.col("file").alias(side), F.col("start").alias(f"{side}_{start}"), F.col(value).alias(f"{side}_{name}"))
+            isles = isles.join(at, [side, f"{side}_{start}"])
+    isles = materialise(isles, "islands")
+    block = lambda side: isles.select(F.col(side).alias("file"), F.col(f"{side}_from").alias("from"), F.col(f"{side}_to").alias("to"))
+    place = materialise(D.places(block("a").unionByName(block("b"))), "places")
+    node = F.concat_ws("\n", "file", F.lpad(F.col("place").cast("string"), 10, "0"))
+    for side, name in (("a", "u"), ("b", "v")):
+        isles = isles.join(place.select(F.col("file").alias(side), F.col("from").alias(f"{side}_from"), F.col("to").alias(f"{side}_to"), F.col("place").alias(f"{side}_place"), node.alias(name)), [side, f"{side}_from", f"{side}_to"])
+    linked = G.components(isles.select("u", "v"))
     size = linked.groupBy("component").agg(F.count("*").alias("copies"))
-    first = isles.join(linked.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.min(F.struct(F.col("a").alias("file"), "line")).alias("at"), F.max(F.col("a_end") - F.col("a_start")).alias("span"))
+    first = isles.join(linked.withColumnRenamed("node", "u"), "u").groupBy("component").agg(F.min(F.struct(F.col("a").alias("file"), F.col("a_place").alias("line"))).alias("at"), F.max(F.col("a_end") - F.col("a_start")).alias("span"))
     out = first.join(size, "component").select("at.file", "at.line", "span", "copies")
     return finding(out, "DUP001", F.format_string("%d tokens in %d places", F.col("span"), F.col("copies")), D.span_severity(F.col("span")), F.when(F.col("copies") > 2, "LOW").otherwise("MEDIUM"), F.col("line"))
 
