@@ -9,8 +9,8 @@ No piece of such a vocabulary has a blank after another character, so texts fall
 characters that no longer piece contains. These units are encoded once and kept in a bounded memory per process. A
 vocabulary without this property is encoded whole.
 
-The first document of each Arrow batch, and each unit that is found to be longer than `STEP_CHARS`, is checked against
-the sentencepiece library; a difference stops the job.
+One document of each Arrow batch, of any length and chosen by a hash, and each document with a unit longer than
+`STEP_CHARS` that isn't in memory, is checked against the sentencepiece library; a difference stops the job.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -287,7 +288,7 @@ class Encoder:
     def __init__(self, data: bytes):
         import sentencepiece
 
-        self.model, self.memory = Model(data), {}
+        self.model, self.memory, self.long = Model(data), {}, set()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def _learn(self, units: set[str]) -> None:
@@ -301,7 +302,8 @@ class Encoder:
                 self.memory[u] = np.array(self.model.encode_unit(u), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, with begin and end."""
+        """Ids of each text as little-endian unsigned 32-bit integers, with begin and end. self.long: texts with new long units."""
+        self.long = set()
         ends = [np.array([x], "<u4").tobytes() for x in (self.model.bos, self.model.eos)]
         out: list[bytes] = []
         at = 0
@@ -318,6 +320,9 @@ class Encoder:
                     memory.clear()
                     new = {u for units in split for u in units}
                 self._learn(new)
+                new = {u for u in new if len(u) > STEP_CHARS}
+            if new:
+                self.long.update(len(out) + i for i, units in enumerate(split) if not new.isdisjoint(units))
             out += [ends[0] + b"".join([memory[u] for u in units]) + ends[1] for units in split]
         return out
 
@@ -333,7 +338,6 @@ def _encoder(data: bytes) -> Encoder:
 
 
 BATCH_BYTES = 8 << 20  # of texts that reach Python at once
-CHECK_CHARS = 20_000  # of each batch, the first text of at most so many characters is checked against the library
 
 
 def encoder_udf(data: bytes, with_ids: bool, with_text: bool):
@@ -349,13 +353,13 @@ def encoder_udf(data: bytes, with_ids: bool, with_text: bool):
             texts = ["" if t is None else t for t in texts]
             if not texts:
                 yield pd.DataFrame([], columns=columns)
+            checked = min(range(len(texts)), key=lambda i: zlib.crc32(texts[i].encode("utf-8", "surrogatepass")), default=None)
             for at in range(0, len(texts), 256):
                 some, rows = texts[at : at + 256], []
-                checked = next((i for i, t in enumerate(some) if len(t) <= CHECK_CHARS), None) if at == 0 else None
                 for i, (t, ids) in enumerate(zip(some, encoder.encode(some))):
                     numbers = np.frombuffer(ids, "<u4").tolist()
                     decoded = encoder.model.decode(numbers)
-                    if i == checked:
+                    if at + i == checked or i in encoder.long:
                         encoder.check(t, ids, decoded)
                     row = (len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                     rows.append((*row, *[np.frombuffer(ids, "<i4")] * with_ids, *[decoded] * with_text))
