@@ -10,26 +10,13 @@ than bits, more rows are possibly repeated and shuffle (40 bytes each, never the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import MAX_BITS, bits_for, pages, slots, with_maybe
 from .common import ascii_lower, materialise, table
 
-PAGE = 32768  # bits of one bitmap of Spark's bitmap functions
-
-
-def _slots(probes: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(i), F.col("text_sha256")), F.lit(bits)) for i in range(probes)]
-
-
-def _bit(bitmap: Column, slot: Column) -> Column:
-    """1 if slot's bit is set. Bitmaps have no trailing zero bytes cut off, so the byte is always there."""
-    at = F.pmod(slot, F.lit(PAGE))
-    byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, F.pmod(at, F.lit(8)).cast("int"))
-
-
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", probes: int = 2, max_bits: int = 1 << 27) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", probes: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest
@@ -38,22 +25,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pro
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256).alias("text_sha256"))
     rows = materialise(rows.withColumn("row_id", F.monotonically_increasing_id()), "hashes")
-    bits = PAGE
-    while bits < min(max_bits, 16 * rows.count()):
-        bits *= 2
-
-    hit = rows.select(F.explode(F.array(*_slots(probes, bits))).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
-    pages = hit.select((F.col("slot") / PAGE).cast("int").alias("page"), F.pmod("slot", F.lit(PAGE)).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    pages = F.broadcast(materialise(pages, "bitmaps"))
-
-    probed = rows
-    for i, slot in enumerate(_slots(probes, bits)):
-        page = pages.select(F.col("page").alias(f"page{i}"), F.col("bitmap").alias(f"bitmap{i}"))
-        probed = probed.withColumn(f"slot{i}", slot).join(page, (F.col(f"slot{i}") / PAGE).cast("int") == F.col(f"page{i}"), "left")
-    maybe = F.lit(True)
-    for i in range(probes):
-        maybe = maybe & F.coalesce(_bit(F.col(f"bitmap{i}"), F.col(f"slot{i}")) == 1, F.lit(False))
-    probed = probed.select("doc_id", "row_id", "text_sha256", maybe.alias("maybe"))
+    bits = bits_for(rows.count(), max_bits)
+    hit = rows.select(F.explode(F.array(*slots("text_sha256", bits, probes))).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
+    probed = with_maybe(rows, pages(hit), "text_sha256", bits, probes)
 
     alone = probed.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = materialise(probed.filter("maybe").drop("maybe"), "maybe")

@@ -2,34 +2,42 @@
 
 A line's key is its text without blanks at both ends and with A-Z lower-cased, as two 64-bit hashes. A key of at least
 `min_chars` code points that two documents or more hold loses all its lines but those in the document with the smallest
-id. The reference-count table has a row per key: how many documents hold it, and the first of these.
+id. Keys are dealt to shards of about `shard_keys` keys. A shard is one row: a cuckoo filter of its keys and, packed
+beside it, the exact table (key, references, first document) that backs the filter.
 
 `dedup_lines` works on a whole table. Counting is map-side combined, so a line in a third of all documents reaches the
-shuffle once per task. Cuckoo filters of the repeated keys, one per shard of keys, then keep all other lines out of the
-second shuffle; the lines that pass are joined to the exact table, so a filter's false positives change nothing. Filters
-are broadcast up to `max_filter_bytes` together; beyond, every line takes the exact join.
-
-`LineIndex` holds the same tables on disk and keeps them under insertions and deletions of documents: the filters tell
-which keys of a batch are new for certain, so only the others are looked up in the reference counts. Deleting lowers the
-counts, drops keys that no document holds, and takes these out of the filters: the state is as if the documents had
+shuffle once per task. Lines (ids, positions and hashes, never texts) then meet their shard: both are sorted by shard, a
+task holds one shard at a time and streams the lines past it. The filter turns away most lines; what passes is looked up
+in the exact table, so its false positives change nothing. A shard with more than 1/512 of all lines (and more than some
+hundred thousand) is copied to several places and its lines are dealt among these; there are 512 such shards at most,
+whatever the size of the table. Texts move only if their document may lose a line.
+
+`LineIndex` keeps the same shards under insertions and deletions of documents. Only shards that a batch touches are
+opened; the filter tells which keys of the batch are new for certain, so only the others are looked up. Deleting lowers
+the counts, drops keys that no document holds, and takes these out of the filters: the state is as if the documents had
 never been inserted.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmaps import split_by
 from .common import BLANKS, NO_ID, ascii_lower, materialise, table
 from .cuckoo import CuckooFilter, Full
 
-SHARD_KEYS = 1 << 16  # keys of a shard's filter, about
+SHARD_KEYS = 1 << 14  # keys of a shard, about: half a megabyte
+#: A shard's lines are dealt among several places if they are more than 1 / HOT of all, and more than PLACE_LINES.
+HOT, PLACE_LINES = 512, 1 << 18
 KEY = ["k1", "k2"]
+PACKED = ("k1", "k2", "refs", "first")
+STATE = "shard int, filter binary, " + ", ".join(f"{c} binary" for c in PACKED)
 
 
 def _line_keys(text: Column, min_chars: int) -> Column:
@@ -43,172 +51,224 @@ def _keyed(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame
     return docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long").alias("o"), F.xxhash64(t).alias("t"), _line_keys(t, min_chars).alias("lines"))
 
 
-def _postings(keyed: DataFrame) -> DataFrame:
-    """o, k1, k2: each key that a document holds, once per row of documents."""
-    return keyed.select("o", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("k")).select("o", "k.k1", "k.k2")
+def _lines(keyed: DataFrame) -> DataFrame:
+    """o, t, at, k1, k2: each line that is long enough to count, with its position."""
+    return keyed.select("o", "t", F.posexplode("lines").alias("at", "k")).filter("k IS NOT NULL").select("o", "t", "at", "k.k1", "k.k2")
 
 
-def _counted(postings: DataFrame) -> DataFrame:
-    return postings.groupBy(*KEY).agg(F.count("*").alias("refs"), F.min("o").alias("first"), F.max("o").alias("last"))
+def _postings(keyed: DataFrame) -> DataFrame:
+    """o, k1, k2: each key that a document holds, once per document."""
+    return _lines(keyed).select("o", *KEY).distinct()
 
 
 def _shard(shards: int) -> Column:
     return F.pmod("k2", F.lit(shards)).cast("int")
 
 
-def _filters(keys: DataFrame, shards: int) -> DataFrame:
-    """shard, filter: a cuckoo filter for each shard that has keys."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "filter": [CuckooFilter.of(pdf["k1"].to_numpy()).dumps()]})
-
-    return keys.select(_shard(shards).alias("shard"), "k1").groupBy("shard").applyInPandas(build, "shard int, filter binary")
-
-
-def _probe(filters: dict[int, bytes], shards: int):
-    """A function over (array of k1, array of k2) that returns the positions a filter may hold. Null keys never are."""
-
-    def positions(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        loaded = {k: CuckooFilter.loads(v) for k, v in filters.value.items()}
-        for k1s, k2s in batches:
-            sizes = np.array([len(x) for x in k1s], np.int64)
-            flat = lambda s: np.concatenate([np.asarray(x, np.int64) for x in s]) if len(s) else np.zeros(0, np.int64)
-            k1, k2 = flat(k1s), flat(k2s)
-            hit = np.zeros(len(k1), bool)
-            shard = np.mod(k2, shards)
-            order = np.argsort(shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            for i, one in loaded.items():
-                at = order[ends[i] : ends[i + 1]]
-                hit[at] = one.contains(k1[at])
-            cut = np.cumsum(sizes)
-            yield pd.Series([np.flatnonzero(hit[b - n : b]).astype(np.int32) for n, b in zip(sizes, cut)])
-
-    return F.pandas_udf(positions, "array<int>")
-
-
-def _without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, drops in batches:
-        out = []
-        for t, d in zip(texts, drops):
-            if t is not None:
-                gone = set(np.asarray(d).tolist())
-                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-            out.append(t)
-        yield pd.Series(out, dtype=object)
-
-
-def dropped_lines(keyed: DataFrame, repeated: DataFrame, max_filter_bytes: int) -> DataFrame:
-    """o, t, drops (positions of lines to drop) for documents that lose lines. repeated: k1, k2, first."""
+def _shards_for(keys: int, shard_keys: int) -> int:
+    n = 1
+    while n * shard_keys < keys:
+        n *= 2
+    return n
+
+
+class Shard:
+    """A filter and the exact table behind it, ordered by key."""
+
+    def __init__(self, filter: CuckooFilter, columns: dict[str, np.ndarray]):
+        self.filter, self.columns = filter, columns
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> Shard:
+        rows = rows.sort_values(KEY)
+        return cls(CuckooFilter.of(rows["k1"].to_numpy()), {c: rows[c].to_numpy(np.int64) for c in PACKED})
+
+    @classmethod
+    def loads(cls, filter: bytes, *columns: bytes) -> Shard:
+        return cls(CuckooFilter.loads(filter), {c: np.frombuffer(b, np.int64) for c, b in zip(PACKED, columns)})
+
+    def row(self, shard: int) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [shard], "filter": [self.filter.dumps()], **{c: [self.columns[c].tobytes()] for c in PACKED}})
+
+    def find(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        """Where each key stands in the table, -1 if it doesn't. The filter is asked first, the table about what passes."""
+        at = np.full(len(k1), -1, np.int64)
+        maybe = np.flatnonzero(self.filter.contains(k1))
+        a, b = self.columns["k1"], self.columns["k2"]
+        place = np.searchsorted(a, k1[maybe])
+        while len(maybe):  # more than one turn only where different keys have one k1
+            inside = place < len(a)
+            maybe, place = maybe[inside], place[inside]
+            same = a[place] == k1[maybe]
+            maybe, place = maybe[same], place[same]
+            hit = b[place] == k2[maybe]
+            at[maybe[hit]] = place[hit]
+            maybe, place = maybe[~hit], place[~hit] + 1
+        return at
+
+
+def build_shards(keys: DataFrame, shards: int) -> DataFrame:
+    """A row per shard that has keys. keys: k1, k2, refs, first, each key once."""
+    rows = keys.select(_shard(shards).alias("shard"), *PACKED)
+    return rows.groupBy("shard").applyInPandas(lambda pdf: Shard.of(pdf).row(int(pdf["shard"].iloc[0])), STATE)
+
+
+def _losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """o, t, at of lines that go. Rows come by place (a shard, or one copy of it), the shard's own row before its lines."""
+    group = shard = None
+    for batch in batches:
+        own, groups = batch.column("own").is_valid().to_numpy(zero_copy_only=False), batch.column("place").to_numpy()
+        line = {c: batch.column(c).fill_null(0).to_numpy() for c in ("o", "t", "at", "n1", "n2")}
+        starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else []
+        gone = np.zeros(len(groups), bool)
+        for lo, hi in zip(starts, [*starts[1:], len(groups)]):
+            if groups[lo] != group:
+                group, shard = groups[lo], None
+            if own[lo]:
+                shard = Shard.loads(*batch.column("own")[int(lo)].as_py().values())
+                lo += 1
+            if shard is not None and lo < hi:
+                at = shard.find(line["n1"][lo:hi], line["n2"][lo:hi])
+                gone[lo:hi] = (at >= 0) & (shard.columns["first"][at] != line["o"][lo:hi])
+        if gone.any():
+            yield pa.RecordBatch.from_arrays([pa.array(line[c][gone]) for c in ("o", "t", "at")], ["o", "t", "at"])
+
+
+def dropped_lines(keyed: DataFrame, repeated: DataFrame, shards: int) -> DataFrame:
+    """o, t, drops (positions of lines to drop, in order) for documents that lose lines. repeated: k1, k2, refs, first."""
     spark = keyed.sparkSession
-    n = repeated.count()
-    shards = max(1, math.ceil(n / SHARD_KEYS))
-    # A shard holds about SHARD_KEYS keys in a power of 2 of slots of 2 bytes, filled to 40 % at least.
-    if n * 5 <= max_filter_bytes:
-        filters = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in _filters(repeated, shards).collect()})
-        at = _probe(filters, shards)(F.transform("lines", lambda x: F.coalesce(x["k1"], F.lit(0))), F.transform("lines", lambda x: F.coalesce(x["k2"], F.lit(0))))
-    else:
-        at = F.sequence(F.lit(0), F.size("lines") - 1)
-    lines = keyed.select("o", "t", "lines", F.explode(at).alias("at")).select("o", "t", "at", F.col("lines")[F.col("at")].alias("k")).filter("k IS NOT NULL").select("o", "t", "at", "k.k1", "k.k2")
-    return lines.join(repeated.select(*KEY, "first"), KEY).filter("o <> first").groupBy("o", "t").agg(F.collect_set("at").alias("drops"))
-
-
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, max_filter_bytes: int = 32 << 20, into: str = "kept_text") -> DataFrame:
-    """docs with the columns `into` (the text that stays), n_lines (before dropping) and n_dropped.
-
-    Texts are split at \\n only; null is one empty line. Lines that stay are joined by \\n; if all go, the text is empty.
-    A null doc_id sorts after all others, and all rows with one count as one document, as do repeated rows of one
-    doc_id. Other columns stay as they are.
+    state = materialise(build_shards(repeated, shards), "line-shards")
+    weights = materialise(repeated.groupBy(_shard(shards).alias("shard")).agg(F.sum("refs").alias("n")), "shard-weights")
+    total = weights.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    part = max(PLACE_LINES, total // HOT)
+    hot = {r["shard"]: min(HOT, -(-r["n"] // part)) for r in weights.filter(F.col("n") > part).collect()}
+    copies = spark.createDataFrame(sorted(hot.items()), "hot int, copies int")
+    with_copies = lambda df: df.join(F.broadcast(copies), F.col("shard") == F.col("hot"), "left").withColumn("copies", F.coalesce("copies", F.lit(1))).drop("hot")
+    place = lambda copy: (F.col("shard").cast("long") * HOT + copy).alias("place")
+    lines = with_copies(_lines(keyed).withColumn("shard", _shard(shards))).select(place(F.pmod(F.xxhash64("o", "t", "at"), "copies")), "o", "t", "at", F.col("k1").alias("n1"), F.col("k2").alias("n2"))
+    own = with_copies(state).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(place(F.col("copy")), F.struct("filter", *PACKED).alias("own"))
+    met = lines.unionByName(own, allowMissingColumns=True).repartition("place").sortWithinPartitions("place", F.col("own").isNull())
+    return met.mapInArrow(_losing, "o long, t long, at int").groupBy("o", "t").agg(F.array_sort(F.collect_set("at")).alias("drops"))
+
+
+def _kept(lines: Column, drops: Column) -> Column:
+    """lines without those at the positions `drops`, in order: the runs between two of them are copied as they are."""
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(drops, i - 1) + 1)
+    run = lambda i: F.slice(lines, begin(i) + 1, F.coalesce(F.get(drops, i), F.size(lines)) - begin(i))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drops)), run))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, shard_keys: int = SHARD_KEYS, into: str = "lines") -> DataFrame:
+    """docs with a struct column `into`: text (what stays), n_lines (before dropping), n_dropped.
+
+    Texts are split at \\n only; null and empty texts are one empty line, which is too short to go. Lines that stay are
+    joined by \\n; if all go, the text is empty. A line that repeats within one document only stays. Texts of any length
+    are read whole; a document's lines are one row of hashes. A null doc_id sorts after all others, and all rows with one
+    count as one document, as do repeated rows of one doc_id, whose lines stay or go alike. There are no ties, as ids
+    decide. All columns stay, whatever their names, but for one called `into`, which the result replaces. An empty table
+    gives an empty result.
     """
     keyed = materialise(_keyed(docs, text, doc_id, min_chars), "line-keys")
-    refs = materialise(_counted(_postings(keyed)), "line-refs")
-    drops = materialise(dropped_lines(keyed, refs.filter("first <> last"), max_filter_bytes), "line-drops")
-    t = F.coalesce(F.col(text), F.lit(""))
-    drops = drops.select(F.col("o").alias("__o"), F.col("t").alias("__t"), F.col("drops").alias("__drops"))
-    out = docs.join(drops, (F.coalesce(F.col(doc_id), F.lit(NO_ID)) == F.col("__o")) & (F.xxhash64(t) == F.col("__t")), "left")
-    lose = F.col("__drops").isNotNull()
-    cut = F.pandas_udf(_without, "string")(F.when(lose, t), "__drops")
-    return out.withColumns({into: F.when(lose, cut).otherwise(t), "n_lines": F.size(F.split(t, "\n", -1)).cast("long"), "n_dropped": F.coalesce(F.size("__drops"), F.lit(0)).cast("long")}).drop("__o", "__t", "__drops")
+    counted = _lines(keyed).groupBy(*KEY).agg(F.count("*").alias("refs"), F.min("o").alias("first"), F.max("o").alias("last"))
+    repeated = materialise(counted.filter("first <> last").drop("last"), "line-refs")
+    shards = _shards_for(repeated.count(), shard_keys)
+    drops = materialise(dropped_lines(keyed, repeated, shards), "line-drops")
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long").alias("o"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    maybe, whole = split_by(rows.withColumn("key", F.xxhash64("o", "t")), drops.select(F.xxhash64("o", "t").alias("key")), "key")
+    t = F.coalesce(F.col("row")[text], F.lit(""))
+    made = lambda text, n, gone: F.struct(text.alias("text"), n.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"))
+    # The one element binds the split lines, so that they are made once for all runs.
+    cut = F.transform(F.array(F.split(t, "\n", -1)), lambda x: made(F.when(F.col("drops").isNull(), t).otherwise(F.array_join(_kept(x, F.col("drops")), "\n")), F.size(x), F.coalesce(F.size("drops"), F.lit(0))))[0]
+    n_lines = F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    stay = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != into.lower()]
+    found = maybe.join(drops, ["o", "t"], "left").select("row", cut.alias("made")).unionByName(whole.select("row", made(t, n_lines, F.lit(0)).alias("made")))
+    return found.select(*stay, F.col("made").alias(into))
 
 
 class LineIndex:
-    """Postings (key, document), reference counts and filters in a shared folder, for incremental dedup that can be undone."""
+    """Postings (key, document) and shards in a shared folder, for incremental dedup that can be undone.
+
+    Every change writes new tables and leaves the old ones until the session ends, so readers are never cut off. Shards
+    are divided in two, all at once, when they get larger than `shard_keys` on average.
+    """
 
-    def __init__(self, spark: SparkSession, shards: int = 64, min_chars: int = 10):
-        self.spark, self.shards, self.min_chars = spark, shards, min_chars
+    def __init__(self, spark: SparkSession, min_chars: int = 10, shard_keys: int = SHARD_KEYS, most_parts: int = 16):
+        self.spark, self.min_chars, self.shard_keys, self.most_parts = spark, min_chars, shard_keys, most_parts
+        self.shards, self.n_keys, self.parts = 1, 0, 0
         self.postings = spark.createDataFrame([], "o long, k1 long, k2 long")
-        self.refs = spark.createDataFrame([], "k1 long, k2 long, refs long, first long")
-        self.filters = spark.createDataFrame([], "shard int, filter binary")
-
-    def _save(self, **frames: DataFrame) -> None:
-        """Writes a new version of each table; the old ones stay until the session ends, so readers are never cut off."""
-        saved = {k: materialise(v, k) for k, v in frames.items()}
-        for k, v in saved.items():
-            setattr(self, k, v)
-
-    def _maybe_known(self, keys: DataFrame) -> DataFrame:
-        """keys with `maybe`: false where the shard's filter knows that the key is new."""
-
-        def look(filters: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-            known = CuckooFilter.loads(filters["filter"].iloc[0]).contains(pdf["k1"].to_numpy()) if len(filters) else np.zeros(len(pdf), bool)
-            return pdf.drop(columns="shard").assign(maybe=known)
-
-        schema = ", ".join(f"{c} {t}" for c, t in keys.dtypes) + ", maybe boolean"
-        return self.filters.groupBy("shard").cogroup(keys.withColumn("shard", _shard(self.shards)).groupBy("shard")).applyInPandas(look, schema)
-
-    def _filters_with(self, new: DataFrame, gone: DataFrame, all_keys: DataFrame) -> DataFrame:
-        """The filters after `new` came and `gone` went; one that gets too full is built anew from the exact table."""
-        changes = new.select("k1", "k2", F.lit(1).alias("change")).unionByName(gone.select("k1", "k2", F.lit(-1).alias("change"))).unionByName(all_keys.select("k1", "k2", F.lit(0).alias("change")))
-
-        def update(filters: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-            if not len(pdf):
-                return filters
-            keys = {c: pdf.loc[pdf["change"] == c, "k1"].to_numpy() for c in (1, -1, 0)}
-            if not len(filters):
-                made = CuckooFilter.of(keys[0])
-            else:
-                made = CuckooFilter.loads(filters["filter"].iloc[0])
-                try:
-                    made.delete(keys[-1])
-                    made.insert(keys[1])
-                except Full:
-                    made = CuckooFilter.of(keys[0])
-            return pd.DataFrame({"shard": pdf["shard"].iloc[:1].to_numpy(), "filter": [made.dumps()]})
-
-        return self.filters.groupBy("shard").cogroup(changes.withColumn("shard", _shard(self.shards)).groupBy("shard")).applyInPandas(update, "shard int, filter binary")
+        self.state = spark.createDataFrame([], STATE)
+
+    def refs(self) -> DataFrame:
+        """k1, k2, refs, first of every key: the exact tables of all shards."""
+        rows = lambda batches: (pd.DataFrame({c: np.concatenate([np.frombuffer(b, np.int64) for b in pdf[c]] or [np.zeros(0, np.int64)]) for c in PACKED}) for pdf in batches)
+        return self.state.mapInPandas(rows, "k1 long, k2 long, refs long, first long")
+
+    def _change(self, changes: DataFrame) -> None:
+        """changes: k1, k2, refs, first, change: `add` (to what is there), `set` (instead of it) or `drop`; each key once."""
+        changes = materialise(changes, "changes")
+        needed = _shards_for(self.n_keys + changes.filter("change = 'add'").count(), self.shard_keys)
+        if needed > self.shards:
+            self.state, self.shards = materialise(build_shards(self.refs(), needed), "shards"), needed
+
+        def merge(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            shard = int(new["shard"].iloc[0])
+            k1, k2 = new["k1"].to_numpy(np.int64), new["k2"].to_numpy(np.int64)
+            change, refs, first = new["change"].to_numpy(), new["refs"].to_numpy(np.int64), new["first"].to_numpy(np.int64)
+            if not len(old):
+                return Shard.of(new[change != "drop"]).row(shard)
+            had = Shard.loads(*old[["filter", *PACKED]].iloc[0])
+            at = had.find(k1, k2)
+            rows = {c: v.copy() for c, v in had.columns.items()}
+            add, put, drop = ((at >= 0) & (change == c) for c in ("add", "set", "drop"))
+            rows["refs"][at[add]] += refs[add]
+            rows["first"][at[add]] = np.minimum(rows["first"][at[add]], first[add])
+            rows["refs"][at[put]], rows["first"][at[put]] = refs[put], first[put]
+            stay = np.ones(len(rows["k1"]), bool)
+            stay[at[drop]] = False
+            fresh = (at < 0) & (change != "drop")
+            table = pd.DataFrame({c: np.concatenate([rows[c][stay], {"k1": k1, "k2": k2, "refs": refs, "first": first}[c][fresh]]) for c in PACKED}).sort_values(KEY)
+            try:
+                had.filter.delete(k1[drop])
+                had.filter.insert(k1[fresh])
+            except Full:
+                return Shard.of(table).row(shard)
+            return Shard(had.filter, {c: table[c].to_numpy(np.int64) for c in PACKED}).row(shard)
+
+        new = changes.withColumn("shard", _shard(self.shards))
+        touched = new.select("shard").distinct()
+        merged = self.state.join(touched, "shard", "left_semi").groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(merge, STATE)
+        self.state = materialise(merged.unionByName(self.state.join(touched, "shard", "left_anti")), "shards")
+        self.n_keys = self.state.agg(F.coalesce(F.sum(F.octet_length("k1") / 8), F.lit(0))).first()[0]
 
     def insert(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> None:
-        """Adds documents whose ids the index does not hold yet."""
-        added = materialise(_postings(_keyed(docs, text, doc_id, self.min_chars)).distinct(), "added")
-        counts = materialise(self._maybe_known(added.groupBy(*KEY).agg(F.count("*").alias("refs"), F.min("o").alias("first"))), "counts")
-        maybe = counts.filter("maybe").drop("maybe")
-        merged = self.refs.unionByName(maybe).groupBy(*KEY).agg(F.sum("refs").alias("refs"), F.min("first").alias("first"))
-        refs = materialise(merged.unionByName(counts.filter("NOT maybe").drop("maybe")), "refs")
-        new = counts.join(self.refs.select(*KEY), KEY, "left_anti")
-        self._save(filters=self._filters_with(new, new.limit(0), refs), postings=self.postings.unionByName(added))
-        self.refs = refs
+        """Adds documents. Those whose ids the index holds lines of already change nothing."""
+        held = self.postings.select("o").distinct()
+        added = materialise(_postings(_keyed(docs, text, doc_id, self.min_chars)).join(held, "o", "left_anti"), "added")
+        self._change(added.groupBy(*KEY).agg(F.count("*").alias("refs"), F.min("o").alias("first")).withColumn("change", F.lit("add")))
+        self.postings, self.parts = self.postings.unionByName(added), self.parts + 1
+        if self.parts > self.most_parts:
+            self.postings, self.parts = materialise(self.postings, "postings"), 1
 
     def delete(self, ids: DataFrame, doc_id: str = "doc_id") -> None:
         """Takes documents out by id; ids the index does not hold change nothing."""
         ids = ids.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("o")).distinct()
-        gone = materialise(self.postings.join(ids, "o", "left_semi"), "removed")
+        touched = materialise(self.postings.join(ids, "o", "left_semi").select(*KEY).distinct(), "touched")
         left = materialise(self.postings.join(ids, "o", "left_anti"), "postings")
-        touched = gone.select(*KEY).distinct()
         again = left.join(touched, KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias("refs"), F.min("o").alias("first"))
-        refs = materialise(self.refs.join(touched, KEY, "left_anti").unionByName(again), "refs")
-        none = touched.join(refs, KEY, "left_anti")
-        self._save(filters=self._filters_with(none.limit(0), none, refs))
-        self.postings, self.refs = left, refs
+        found = touched.join(again, KEY, "left").select(*KEY, F.coalesce("refs", F.lit(0)).alias("refs"), F.coalesce("first", F.lit(0)).alias("first"), F.when(F.col("refs").isNull(), "drop").otherwise("set").alias("change"))
+        self._change(found)
+        self.postings, self.parts = left, 1
 
     def drops(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """o, t, drops: the positions of the lines that the index's documents lose now."""
-        repeated = self.refs.filter("refs > 1")
-        return dropped_lines(_keyed(docs, text, doc_id, self.min_chars), repeated, 32 << 20)
+        repeated = materialise(self.refs().filter("refs > 1"), "repeated")
+        return dropped_lines(_keyed(docs, text, doc_id, self.min_chars), repeated, self.shards)
 
 
 def op2_line_dedup(spark, sf_dir):
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.text").cast("binary"), 256).alias("kept_sha256"))
 
 
 QUERIES = {"op2_line_dedup": op2_line_dedup}

@@ -51,19 +51,27 @@ def test_exact_dedup_keeps_the_largest_id_before_null(spark):
 
 def test_line_dedup(docs, none):
     out = {}
-    for r in line_dedup.dedup_lines(docs).collect():
+    for r in line_dedup.dedup_lines(docs, into="cut").collect():
         out.setdefault(r.doc_id, []).append(r)
-    assert out[1][0].n_dropped == 0 and out[1][0].n_lines == 2
-    assert out[2][0].kept_text == "" and out[2][0].n_lines == 1 and out[3][0].n_lines == 1
-    assert [r.kept_text for r in out[5]] == ["own words of five"] * 2
-    assert out[None][0].kept_text == "" and out[7][0].kept_text == "" and out[7][0].n_dropped == 2
-    assert out[8][0].kept_text == DOCS[8][1]
+    assert out[1][0].cut.n_dropped == 0 and out[1][0].cut.n_lines == 2
+    assert out[2][0].cut.text == "" and out[2][0].cut.n_lines == 1 and out[3][0].cut.n_lines == 1
+    assert [r.cut.text for r in out[5]] == ["own words of five"] * 2
+    assert out[None][0].cut.text == "" and out[7][0].cut.text == "" and out[7][0].cut.n_dropped == 2
+    assert out[8][0].cut.text == DOCS[8][1] and out[4][0].cut.text == LONG
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-def test_line_dedup_without_filters_is_the_same(docs):
-    key = lambda df: sorted((str(r.doc_id), r.kept_text) for r in df.collect())
-    assert key(line_dedup.dedup_lines(docs)) == key(line_dedup.dedup_lines(docs, max_filter_bytes=0))
+def test_line_dedup_with_a_shard_for_each_key(docs):
+    rows = lambda df: sorted((str(r.doc_id), r.cut.text, r.cut.n_dropped) for r in df.collect())
+    assert rows(line_dedup.dedup_lines(docs, into="cut")) == rows(line_dedup.dedup_lines(docs, shard_keys=1, into="cut"))
+
+
+def test_line_dedup_keeps_the_callers_columns(spark):
+    names = ("n_lines", "n_dropped", "__o", "__t", "__drops", "drops", "row", "o", "t", "key", "maybe", "a.b")
+    docs = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE + "\nx")], "doc_id long, text string").withColumns({c: F.lit(f"own {c}") for c in names})
+    got = line_dedup.dedup_lines(docs).orderBy("doc_id").collect()
+    assert [[r[c] for c in names] for r in got] == [[f"own {c}" for c in names]] * 2
+    assert [(r.lines.text, r.lines.n_lines, r.lines.n_dropped) for r in got] == [(PASSAGE, 1, 0), ("x", 2, 1)]
 
 
 def test_quality(docs, none):
@@ -152,6 +160,30 @@ def test_pipeline_stages(docs, none, spark):
             out.collect()
 
 
+def test_pipeline_stages_keep_the_callers_columns(spark):
+    names = ("n_lines", "n_dropped", "lines", "ledger", "__ledger", "__kept", "__id", "__copies", "pieces", "row", "id", "gone", "taken", "size", "maybe", "col", "a.b")
+    body = " ".join(f"word{i} of a sentence that is long enough" for i in range(12))
+    rows = [(1, PASSAGE + "\n" + body, "s"), (2, PASSAGE + "\n" + body.replace("sentence", "phrase"), "s"), (3, body, "s"), (None, body[::-1], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(f"own {c}") for c in names})
+    got = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, got, "")
+        assert got.columns == docs.columns
+        assert {tuple(r[c] for c in names) for r in got.collect()} <= {tuple(f"own {c}" for c in names)}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, got, "").columns == ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_mix_takes_repeats_and_null_ids_one_by_one(spark):
+    """The stage's words of each source are those mix takes, whatever rows repeat."""
+    rows = [(i % 4 if i % 3 else None, " ".join(f"w{j}" for j in range(5 + i % 2)), "ab"[i % 5 > 0]) for i in range(60)] + [(None, None, None), (9, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect() if r.n}
+    got = {}
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == want and sum(want.values()) > 250
+
+
 def test_one_query_for_each_operator():
     assert {int(q[2:].split("_")[0]) for q in queries()} == set(range(1, 11))
 

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 import xxhash
@@ -33,17 +34,34 @@ def test_line_index_is_reversible(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     a, b = docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 3 = 0")
     rows = lambda df: sorted(map(tuple, df.collect()))
-    index = line_dedup.LineIndex(spark, shards=3)
+    index = line_dedup.LineIndex(spark, shard_keys=256, most_parts=1)
     index.insert(a)
-    refs, drops = rows(index.refs), rows(index.drops(a))
+    refs, drops = rows(index.refs()), rows(index.drops(a))
+    assert index.shards > 4 and drops
     index.insert(b)
-    whole = line_dedup.LineIndex(spark, shards=3)
+    index.insert(b)  # held already: changes nothing
+    whole = line_dedup.LineIndex(spark)
     whole.insert(docs)
-    assert rows(index.refs) == rows(whole.refs)
-    assert [(r[0], sorted(r[2])) for r in rows(index.drops(docs))] == [(r[0], sorted(r[2])) for r in rows(whole.drops(docs))]
+    assert rows(index.refs()) == rows(whole.refs())
+    assert rows(index.drops(docs)) == rows(whole.drops(docs)) == rows(line_dedup.dropped_lines(line_dedup._keyed(docs, "text", "doc_id", 10), whole.refs().filter("refs > 1"), 64))
     index.delete(b.select("doc_id"))
-    assert rows(index.refs) == refs
-    assert [(r[0], sorted(r[2])) for r in rows(index.drops(a))] == [(r[0], sorted(r[2])) for r in drops]
+    assert rows(index.refs()) == refs and rows(index.drops(a)) == drops
+    filters = [line_dedup.Shard.loads(*r[1:]) for r in index.state.collect()]
+    assert all((f.find(f.columns["k1"], f.columns["k2"]) == np.arange(len(f.columns["k1"]))).all() for f in filters)
+
+
+def test_shard_tells_keys_with_one_half_apart():
+    rows = pd.DataFrame({"k1": [5, 5, 5, 9], "k2": [3, 1, 2, 1], "refs": [2] * 4, "first": [10, 20, 30, 40]})
+    shard = line_dedup.Shard.of(rows)
+    at = shard.find(np.array([5, 5, 5, 5, 9, 9, 7]), np.array([1, 2, 3, 4, 1, 2, 1]))
+    assert [int(shard.columns["first"][i]) if i >= 0 else None for i in at] == [20, 30, 10, None, 40, None, None]
+
+
+def test_hot_shards_are_dealt_among_tasks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PLACE_LINES", 20)
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('the line in every document\nown line of number ', id, '\nline of some ', id % 7) AS text")
+    got = {r.doc_id: (r.lines.text, r.lines.n_dropped) for r in line_dedup.dedup_lines(docs, shard_keys=1).collect()}
+    assert got == {i: (f"the line in every document\nown line of number {i}\nline of some {i}" if i == 0 else f"own line of number {i}" + (f"\nline of some {i}" if i < 7 else ""), 0 if i == 0 else 1 if i < 7 else 2) for i in range(300)}
 
 
 @given(st.lists(st.integers(0, 3), max_size=60))
