@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from .common import materialise, n_words, table
 
 
-def _keys(docs: DataFrame, text: str, doc_id: str, source: str, seed: str) -> DataFrame:
+def _keys(docs: DataFrame, text: str, doc_id: str, source: str, seed: str, with_row: bool = False) -> DataFrame:
     """doc_id, source, size, u, key. quality: the share of a text's characters that are letters, digits or blanks, 0.1 at least."""
     t = F.coalesce(F.col(text), F.lit(""))
     noise = F.char_length(t) - F.char_length(F.translate(t, "#*$%&|<>!", ""))
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    name = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null:"), t))
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     quality = F.greatest(F.lit(0.1), 1.0 - noise.cast("double") / F.greatest(F.char_length(t), F.lit(1)))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), u.alias("u"), quality.alias("quality"))
+    own = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if with_row else [])])
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), u.alias("u"), quality.alias("quality"), *([own.alias("row")] if with_row else []))
 
 
 def _targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -43,14 +45,18 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> Dat
     return ordered.select("source", "rows", "source_size", F.coalesce(F.least(F.col("cap"), F.col("weight") * found), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", cell_rows: int = 4096) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, source.
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", cell_rows: int = 4096, with_row: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, source; with_row: and a struct `row` of its columns.
 
     size: words of the text (null: 0). Sources are ordered by code point, null last and a source of its own; they weigh
     `weights`, repeating. taken: words the mix takes of this row, a multiple of its size up to max_epochs times. The last
-    document taken may overshoot: it is taken if that brings the source nearer to its target. Repeated rows draw the same
-    key and are ordered by size, then taken alike up to the budget. A table without words gives taken 0 everywhere; an
-    empty table an empty result. Other columns are not read, whatever their names.
+    last document taken may overshoot: it is taken if that brings the source nearer to its target. Ties of the key fall
+    to the smaller id, then the smaller size. Rows with a null id draw by their text. Repeated rows draw the same key and
+    count one by one, so only some of them may be taken. Texts are read whole, whatever their length. A table without
+    words gives taken 0 everywhere; an empty table an empty result. Other columns are not read, whatever their names.
+
+    with_row decides each row where its text is: texts are read again and not joined; only those of the cells in which
+    budgets end move.
     """
     keyed = materialise(_keys(docs, text, doc_id, source, seed), "keyed")
     targets = _targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, max_epochs)
@@ -58,16 +64,20 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     targets = materialise(targets.withColumn("epochs", F.least(whole, F.lit(max_epochs)).cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
     # Qualities are within 0.1 and 1, and most are near 1: u is the key's rank but for those, and exp(-key) keeps cells even.
     cells = F.ceil(F.col("rows") / cell_rows)
-    full = keyed.join(targets, keyed["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", keyed["source"].alias("source"), "size", "source_size", "target", "epochs", "rest", (-F.log("u") / F.col("quality")).alias("key"), F.least(F.floor((1.0 - F.exp(F.log("u") / F.col("quality"))) * cells), cells - 1).cast("long").alias("cell")
-    )
-    sums = full.groupBy("source", "cell").agg(F.sum("size").alias("in_cell"), F.max("rest").alias("cell_rest"))
+    row = ["row"] if with_row else []
+
+    def in_cells(rows: DataFrame, more: list[str]) -> DataFrame:
+        key, cell = -F.log("u") / F.col("quality"), F.least(F.floor((1.0 - F.exp(F.log("u") / F.col("quality"))) * cells), cells - 1).cast("long")
+        return rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select("doc_id", rows["source"].alias("source"), "size", "source_size", "target", "epochs", "rest", key.alias("key"), cell.alias("cell"), *more)
+
+    sums = in_cells(keyed, []).groupBy("source", "cell").agg(F.sum("size").alias("in_cell"), F.max("rest").alias("cell_rest"))
     before = F.coalesce(F.sum("in_cell").over(W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     edge = sums.withColumn("before", before).filter("before < cell_rest").groupBy("source").agg(F.max_by(F.struct("cell", "before"), "cell").alias("edge"))
     edge = materialise(edge, "edge")
+    full = in_cells(_keys(docs, text, doc_id, source, seed, True) if with_row else keyed, row)
     placed = full.join(edge.select(F.col("source").alias("edge_source"), "edge"), F.col("source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
     take = F.col("epochs") * F.col("size")
-    out = lambda df, more: df.select("doc_id", "size", "source_size", "target", (take + more).cast("long").alias("taken"), "source")
+    out = lambda df, more: df.select("doc_id", "size", "source_size", "target", (take + more).cast("long").alias("taken"), "source", *row)
     sorted_cell = F.col("cell") == F.col("edge.cell")
     apart = out(placed.filter(F.coalesce(~sorted_cell, F.lit(True))), F.when(F.col("cell") < F.col("edge.cell"), F.col("size")).otherwise(0))
     upto = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("edge.before")
@@ -83,7 +93,7 @@ QUERIES = {"op8_mix_sources": op8_mix_sources}
 SQL = {
     "op8_mix_sources": r"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-k AS (SELECT doc_id, source, size, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
+k AS (SELECT doc_id, source, size, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || x)), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
       / greatest(0.1, 1.0 - (length(x) - length(translate(x, '#*$%&|<>!', '')))::DOUBLE / greatest(length(x), 1)) AS key FROM t),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
