@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it is read, or dealt by rows if its files make fewer partitions than there are cores.
+
+    For tables whose rows cost much more to work on than to move. Those of few files are small, so little is moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does that on its own when every character is one byte."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -1,5 +1,7 @@
 """The methods against brute force, and against a second way to the same result."""
 
+import json
+import math
 import random
 import re
 import zlib
@@ -204,14 +206,73 @@ def test_windows_label_each_byte_once():
     assert [len(net.positions(t)) for t in texts] == kept.tolist()
 
 
-def test_block_max_index_is_exact():
-    rng = np.random.default_rng(6)
-    vectors = [toxicity.unit_vector({int(t): int(rng.integers(1, 4)) for t in rng.choice(30, rng.integers(1, 6), replace=False)}, [1 + t / 10 for t in range(30)]) for _ in range(500)]
+@pytest.mark.parametrize("often", [1, 8, 10_000])  # all terms in lists, some, none
+def test_block_max_index_is_exact(monkeypatch, often):
+    monkeypatch.setattr(toxicity, "OFTEN", often)
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(400):
+        ids = rng.choice(30, rng.integers(0, 6), replace=False).astype(np.int64)
+        w = rng.integers(1, 4, len(ids)).astype(float)
+        vectors.append((ids, w / np.sqrt((w * w).sum()) if len(ids) else w))
     index = toxicity.BlockMaxIndex(vectors, 30)
-    for q in vectors[:60]:
-        every = sorted(((round(sum(q.get(t, 0) * w for t, w in v.items()), 12), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
-        got = index.top(q, 10)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in every[:10] if s > 0]
+    dot = lambda q, v: sum(w * x for t, w in zip(*q) for u, x in zip(*v) if t == u)
+    for i, (q, got) in enumerate(zip(vectors[:80], index.top(vectors[:80], 7, list(range(80))))):
+        near = sorted(((round(dot(q, v), 12), j) for j, v in enumerate(vectors) if j != i), key=lambda x: (-x[0], x[1]))[:7]
+        assert [(round(s, 9), j) for s, j in got] == [(round(s, 9), j) for s, j in near if s > 0]
+    assert toxicity.BlockMaxIndex([], 3).top([(np.array([1]), np.array([1.0]))], 2) == [[]]
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Every document of the table against every example, by dense sums over all terms."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    labels = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r.toxic is not None and not held(r.doc_id):
+            labels[r.doc_id] = max(r.toxic, labels.get(r.doc_id, 0))
+    tf = {}
+    for i, t in docs.items():
+        tf[i] = {}
+        for w in re.findall(r"[^\W_]+", t.lower()):
+            tf[i][w] = tf[i].get(w, 0) + 1
+    examples = sorted(i for i in labels if i in docs)
+    n, pos = len(examples), sum(labels[i] for i in examples)
+    log = lambda k, e: k * math.log(k / e) if k else 0.0
+    signed = {}
+    for w in {w for i in examples for w in tf[i]}:
+        a, b = (sum(labels[i] == y and w in tf[i] for i in examples) for y in (1, 0))
+        g = 2 * (log(a, (a + b) * pos / n) + log(b, (a + b) * (n - pos) / n) + log(pos - a, (n - a - b) * pos / n) + log(n - pos - b, (n - a - b) * (n - pos) / n))
+        signed[w] = math.sqrt(max(g, 0)) * (1 if a * (n - pos) >= b * pos else -1)
+    dims = {}
+    for i in docs:
+        dims[i] = {w: k for w, k in tf[i].items() if w in signed}
+        told = sum(k for w, k in dims[i].items() if signed[w] > toxicity.CHANCE)
+        if told:
+            dims[i][None, sum(told >= c for c in toxicity.COUNTS)] = 1
+    df = {}
+    for d in dims.values():
+        for w in d:
+            df[w] = df.get(w, 0) + 1
+    unit = {}
+    for i, d in dims.items():
+        v = {w: (1 + math.log(k)) * math.log((len(docs) + 1) / (df[w] + 1)) * (toxicity.COUNT_WEIGHT if isinstance(w, tuple) else toxicity.FLOOR + max(0, abs(signed[w]) - toxicity.CHANCE) / 10) for w, k in d.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        unit[i] = {w: x / size for w, x in v.items() if x}
+    near = lambda q, but=None: [(s, e) for s, e in sorted(((sum(x * unit[e].get(w, 0) for w, x in q.items()), e) for e in examples if e != but), key=lambda x: (-round(x[0], 12), x[1]))[:15] if round(s, 12) > 0]
+    prior = pos / n
+    vote = lambda found: (sum(s * s * labels[e] for s, e in found) + 0.05 * prior) / (sum(s * s for s, e in found) + 0.05) if found else prior
+    known = [e for e in examples if unit[e]]
+    line = toxicity.isotonic(np.array([vote(near(unit[e], e)) for e in known]), np.array([labels[e] for e in known], float), np.ones(len(known)))
+    got = {r.doc_id: r for r in toxicity.op1_toxicity(spark, SF).collect()}
+    assert set(got) == set(docs) and pos > 3
+    for i, r in got.items():
+        found = near(unit[i])
+        evidence = json.loads(r.evidence)
+        assert [round(e["similarity"], 8) for e in evidence] == [round(s, 8) for s, _ in found]
+        if found:
+            assert r.score == pytest.approx(float(np.interp(vote(found), *line)), abs=1e-6), i
+        assert r.held_out == held(i) and r.predicted == (r.score >= 0.5)
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -229,6 +290,15 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(scores[r.doc_id] for r in found)
 
 
+def test_toxicity_finds_most_of_many_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL").select("doc_id", "toxic")
+    tested = toxicity.op1_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    toxic, clean = ([r.predicted for r in tested if r.toxic == y] for y in (1, 0))
+    assert len(toxic) > 90 and sum(toxic) >= 0.85 * len(toxic)
+    assert len(clean) > 700 and sum(clean) <= 0.01 * len(clean)
+
+
 def test_mixing_meets_targets(spark):
     rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), cell_rows=16).collect()
     whole = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), cell_rows=1 << 20).collect()
