@@ -1,8 +1,8 @@
 """URL filters: rules on host and path, and for all other URLs gradient-boosted trees over lexical features.
 
 The trees are trained here in numpy, on binned features with the logistic loss, from labelled URLs. The tables at hand
-label no URLs, so `SEED` spells out a small labelled set: hosts and paths as they occur on blocklists (pills, casinos,
-trackers, link farms, random hosts, parameter spam), and ordinary ones. `judge` takes any labelled table instead.
+label no URLs, so `seed` makes a labelled set: names of well-known sites and of well-known ad and tracking hosts, made-up
+names of blocklists' words and of ordinary ones, random hosts and parameter spam. `learn` takes a labelled table instead.
 """
 
 from __future__ import annotations
@@ -23,38 +23,52 @@ from .common import ascii_lower, table
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 WORDS = re.compile(r"[a-z]{3,}")
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-FEATURES = ("url_length", "host_length", "host_labels", "longest_label", "host_hyphens", "digit_ratio", "host_digits", "host_entropy", "path_length", "path_depth", "path_entropy", "parameters", "query_length", "escapes", "vowel_ratio", "suffix_rate", "suffix_seen", "word_rate", "word_rate_mean")
-
-_BAD = "best-loans-now win-big-prizes hot-singles-chat buy-meds-online xxx-cams poker-bonus crypto-double click-rewards seo-links fast-cash24 replica-watches slot-jackpots tracker-pixel ad-serve bet365-promo viagra-discount keygen-crack free-iphone lucky-spin".split()
-_GOOD = "news library cityhall university gardening cooking museum weather sports science history docs wiki forum journal travel music school health photos archive radio market theatre community".split()
-_SUFFIXES = "example.com example.net example.org example.edu example.io".split()
-
-
-def seed() -> list[tuple[str, int]]:
-    """(url, 1 if it is to be blocked). Both classes have the same suffixes, plain paths, slugs and hyphenated hosts.
-
-    Blocked: names of blocklists and new ones of their words, random hosts, and parameter spam. No name or path form is
-    taken from the tables, so that figures on these aren't figures on the seed.
+FEATURES = ("url_length", "host_length", "host_labels", "longest_label", "host_hyphens", "digit_ratio", "host_digits", "host_entropy", "path_length", "path_depth", "path_entropy", "parameters", "query_length", "escapes", "vowel_ratio", "suffix_rate", "suffix_seen", "gram_rate", "gram_rate_mean", "domain_rate")
+
+#: Words of names on blocklists, by kind: gambling, drugs, adult, advertising, money, piracy.
+_BAD = "poker roulette jackpot blackjack bingo slots lottery betting viagra cialis pharma meds steroid slimming xxx porn cams escort hookup adserver popunder affiliate clickbank tracker pixel banners loans payday forex credits crypto rewards prizes giveaway torrent keygen crack warez cheats replica followers".split()
+_GOOD = "news library cityhall university gardening cooking museum weather sports science history docs wiki forum journal travel music school health photos archive radio market theatre community bakery hiking river garden society church clinic council academy press review kitchen studio village orchard".split()
+#: Well-known ad and tracking hosts, and well-known sites.
+_BAD_HOSTS = """doubleclick.net ad.doubleclick.net pagead2.googlesyndication.com pixel.quantserve.com b.scorecardresearch.com static.criteo.net
+cdn.taboola.com widgets.outbrain.com ib.adnxs.com track.adform.net pixel.rubiconproject.com ads.pubmatic.com sync.openx.net match.adsrvr.org
+c.amazon-adsystem.com cdn.popads.net serve.popcash.net syndication.exoclick.com s.adroll.com metrics.omtrdc.net counter.yadro.ru tags.bluekai.com
+cm.everesttech.net securepubads.g.doubleclick.net bidr.trafficjunky.net pixel.mathtag.com ads.yieldmo.com banners.adfox.ru""".split()
+_GOOD_HOSTS = """en.wikipedia.org github.com stackoverflow.com docs.python.org www.nytimes.com www.bbc.co.uk www.theguardian.com arxiv.org www.nature.com
+www.gov.uk www.nasa.gov web.mit.edu www.stanford.edu www.reuters.com www.loc.gov www.who.int developer.mozilla.org www.w3.org pypi.org www.npmjs.com
+www.debian.org www.kernel.org www.postgresql.org spark.apache.org www.eff.org www.gutenberg.org archive.org www.britannica.com www.un.org
+www.lemonde.fr elpais.com www.spiegel.de www.zeit.de www.corriere.it www.etsy.com www.ikea.com www.imdb.com www.khanacademy.org
+www.openstreetmap.org www.weather.gov www.metoffice.gov.uk mail.google.com www.amazon.com www.ox.ac.uk www.uni-heidelberg.de""".split()
+_SUFFIXES = "com net org io info co.uk de fr es example.com example.net example.org example.edu".split()
+_BAD_SUFFIXES = [*_SUFFIXES, "biz", "xyz", "top", "win", "click", "online", "site", "loan"]
+_GOOD_SUFFIXES = [*_SUFFIXES, "edu", "gov", "eu", "museum", "ac.uk", "ch", "nl"]
+
+
+def seed(rounds: int = 12) -> list[tuple[str, int]]:
+    """(url, 1 if it is to be blocked). Both classes have plain paths, slugs, parameters and hyphenated hosts.
+
+    No name of a host, no word of a hyphenated name and no path form is taken from the tables the queries run on, so that
+    figures on these aren't figures on the seed.
     """
     rng = np.random.default_rng(5)
     pick = lambda some: str(some[int(rng.integers(len(some)))])
-    paths = ["/", "/{w}", "/{w}/", "/{w}/{w}", "/{w}/{n}-{w}", "/{w}-{w}-{w}", "/{w}/{w}-{w}-{w}-{w}", "/{w}.php?id={n}", "/{w}?q={w}&sort={w}", "/search?q={w}&lang={w}&sort={w}", "/{w}?a={w}&b={n}&c={w}&d={w}", "/20{y}/{y}/{w}-{w}"]
+    paths = ["/", "/{w}", "/{w}/", "/{w}/{w}", "/{w}/{n}-{w}", "/{w}-{w}-{w}", "/{w}/{w}-{w}-{w}-{w}", "/{w}.php?id={n}", "/{w}?q={w}&sort={w}", "/search?q={w}&lang={w}&sort={w}", "/{w}?a={w}&b={n}&c={w}&d={w}", "/20{y}/{y}/{y}/{w}/{w}-{w}-{w}", "/{w}/{w}/{w}/{W}.{w}", "/{w}/{n}", "/{W}_{W}", "/{w}/{n}/{w}-{w}-{w}-{w}"]
     spam = ["/go.php?id={n}&aff={n}&sub={n}&clk={n}{n}", "/r/{n}{n}{n}/out?u=http%3A%2F%2F{w}", "/?k={n}&z={n}&v={n}{n}&q={w}+{w}+{w}"]
+    serve = ["/{w}.gif?id={n}&cb={n}", "/js/{w}.js", "/sync?p={n}", "/imp?{w}={n}&r={n}{n}", "/{w};sz={n};ord={n}", "/{w}", "/{w}/{n}"]
     word = lambda: "".join(pick("bcdfgklmnprstv") + pick("aeiou") + ("" if rng.random() < 0.5 else pick("nrst")) for _ in range(rng.integers(1, 4)))
-    fill = lambda p: re.sub(r"\{(.)\}", lambda m: {"y": str(rng.integers(10, 25)), "n": str(int(10 ** rng.uniform(0, 6.5))), "w": word()}[m[1]], p)
-    front = lambda: pick(["", "www.", "m.", "blog."])
-    words = sorted({w for name in _BAD for w in WORDS.findall(name)})
+    fill = lambda p: re.sub(r"\{(.)\}", lambda m: {"y": str(rng.integers(10, 25)), "n": str(int(10 ** rng.uniform(0, 6.5))), "w": word(), "W": word().title()}[m[1]], p)
+    front, scheme = lambda: pick(["", "", "www.", "www.", "shop."]), lambda: pick(["http", "https", "https"])
     out = []
-    for _ in range(26):
+    for _ in range(rounds):
         for bad, good in zip(_BAD, _GOOD):
-            clean = [good, word() + word(), pick([f"{good}-{pick(_GOOD)}", f"{word()}-{good}", f"{word()}-{word()}", f"{good}-{word()}-{pick(_GOOD)}", f"{word()}-{word()}-{word()}"])]
-            for name in clean:
-                out.append((f"{pick(['http', 'https'])}://{front()}{name}.{pick(_SUFFIXES)}{fill(pick(paths))}", 0))
-            for name in (bad, "-".join(pick(words) for _ in range(rng.integers(2, 4)))):
-                out.append((f"{pick(['http', 'https'])}://{front()}{name}.{pick(_SUFFIXES)}{fill(pick(paths))}", 1))
+            clean = [good, word() + word(), pick([f"{good}-{pick(_GOOD)}", f"{word()}-{good}", f"{word()}-{word()}", f"{good}-{word()}-{pick(_GOOD)}", f"{word()}{good}"])]
+            foul = [pick([bad + pick(_BAD), f"{bad}-{word()}", f"{word()}-{bad}", f"{bad}{word()}"]), "-".join(pick(_BAD) for _ in range(rng.integers(2, 4)))]
+            out += [(f"{scheme()}://{front()}{name}.{pick(_GOOD_SUFFIXES)}{fill(pick(paths))}", 0) for name in clean]
+            out += [(f"{scheme()}://{front()}{name}.{pick(_BAD_SUFFIXES)}{fill(pick(paths))}", 1) for name in foul]
             noise = "".join(pick("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.integers(14, 26)))
-            out.append((f"http://{noise}.{pick(_SUFFIXES)}{fill(pick(paths))}", 1))
-            out.append((f"{pick(['http', 'https'])}://{front()}{word()}{pick(['', '-'])}{word()}.{pick(_SUFFIXES)}{fill(pick(spam))}", 1))
+            out.append((f"http://{noise}.{pick(_BAD_SUFFIXES)}{fill(pick(paths))}", 1))
+            out.append((f"{scheme()}://{front()}{word()}{pick(['', '-'])}{word()}.{pick(_BAD_SUFFIXES)}{fill(pick(spam))}", 1))
+        out += [(f"{scheme()}://{host}{fill(pick(paths))}", 0) for host in _GOOD_HOSTS]
+        out += [(f"{scheme()}://{host}{fill(pick(serve))}", 1) for host in _BAD_HOSTS]
     return out
 
 
@@ -63,9 +77,16 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def host_words(host: str) -> list[str]:
-    """Runs of three or more letters in the labels before the suffix."""
-    return sorted(set(WORDS.findall(".".join(host.split(".")[:-2]))))
+def _domain(host: str) -> str:
+    """The suffix and the label before it."""
+    rest = host[: len(host) - len(_suffix(host))].rstrip(".")
+    return f"{rest.rsplit('.', 1)[-1]}.{_suffix(host)}"
+
+
+def host_grams(host: str) -> list[str]:
+    """Runs of four letters (or three, where a word has no more) in the labels before the suffix, but for www."""
+    words = set(WORDS.findall(host[: len(host) - len(_suffix(host))])) - {"www"}
+    return sorted({w[i : i + 4] for w in words for i in range(max(1, len(w) - 3))})
 
 
 def _entropy(s: str) -> float:
@@ -73,11 +94,13 @@ def _entropy(s: str) -> float:
 
 
 def _suffix(host: str) -> str:
-    return ".".join(host.rsplit(".", 2)[-2:])
+    """The last label, with the one before it where that is a country's com, co, org and the like."""
+    labels = host.split(".")
+    return ".".join(labels[-2:] if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in {"ac", "co", "com", "edu", "gov", "net", "org"} else labels[-1:])
 
 
-def features(url: str | None, suffixes: dict[str, tuple[int, int]], overall: float, label: int | None = None, words: dict[str, tuple[int, int]] | None = None) -> list[float]:
-    """Lexical features of one URL. suffixes: (URLs, blocked ones) by suffix; words: (hosts, blocked ones) by word of the host.
+def features(url: str | None, suffixes: dict[str, tuple[int, int]], overall: float, label: int | None = None, grams: dict[str, tuple[int, int]] | None = None) -> list[float]:
+    """Lexical features of one URL. suffixes: (URLs, blocked ones) by suffix and by domain; grams: (hosts, blocked ones) by letters of the host.
 
     A labelled URL's own label, and its own host, are taken out.
     """
@@ -86,20 +109,22 @@ def features(url: str | None, suffixes: dict[str, tuple[int, int]], overall: flo
     host, path = (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", "")
     query = url[m.end() :].split("#")[0].lstrip("?") if m else ""
     seen, bad = suffixes.get(_suffix(host), (0, 0))
+    seen_domain, bad_domain = suffixes.get(_domain(host), (0, 0))
     if label is not None:
-        seen, bad = max(0, seen - 1), max(0, bad - label)
+        seen, bad, seen_domain, bad_domain = max(0, seen - 1), max(0, bad - label), max(0, seen_domain - 1), max(0, bad_domain - label)
     rates = []
-    for w in host_words(host):
-        hosts, blocked = (words or {}).get(w, (0, 0))
+    for w in host_grams(host):
+        hosts, blocked = (grams or {}).get(w, (0, 0))
         if label is not None:
             hosts, blocked = max(0, hosts - 1), max(0, blocked - label)
-        rates.append((blocked + overall) / (hosts + 1))
+        rates.append((blocked + 2 * overall) / (hosts + 2))
     letters = sum(c.isalpha() for c in host) or 1
     digits = sum(c.isdigit() for c in url)
     return [
         len(url), len(host), host.count(".") + 1, max(map(len, host.split("."))), host.count("-"), digits / max(1, len(url)), sum(c.isdigit() for c in host), _entropy(host),
         len(path), sum(bool(x) for x in path.split("/")), _entropy(path), query.count("=") + query.count("&") if query else 0, len(query), url.count("%"),
         sum(c in "aeiouy" for c in host) / letters, (bad + 20 * overall) / (seen + 20), math.log1p(seen), max(rates, default=overall), sum(rates) / len(rates) if rates else overall,
+        (bad_domain + 2 * overall) / (seen_domain + 2),
     ]
 
 
@@ -161,24 +186,25 @@ class UrlModel:
         self.suffixes: dict[str, tuple[int, int]] = {}
         for url, label in labelled:
             m = re.match(PARTS, url or "")
-            s = _suffix(m[1].lower()) if m else ""
-            seen, bad = self.suffixes.get(s, (0, 0))
-            self.suffixes[s] = (seen + 1, bad + label)
+            host = m[1].lower() if m else ""
+            for s in (_suffix(host), _domain(host)):
+                seen, bad = self.suffixes.get(s, (0, 0))
+                self.suffixes[s] = (seen + 1, bad + label)
         hosts: dict[str, int] = {}
         for url, label in labelled:
             hosts[host_of(url)] = max(label, hosts.get(host_of(url), 0))
-        self.words: dict[str, tuple[int, int]] = {}
+        self.grams: dict[str, tuple[int, int]] = {}
         for host, label in hosts.items():
-            for w in host_words(host):
-                seen, bad = self.words.get(w, (0, 0))
-                self.words[w] = (seen + 1, bad + label)
-        x = np.array([features(u, self.suffixes, self.overall, label, self.words) for u, label in labelled]).reshape(-1, len(FEATURES))
+            for w in host_grams(host):
+                seen, bad = self.grams.get(w, (0, 0))
+                self.grams[w] = (seen + 1, bad + label)
+        x = np.array([features(u, self.suffixes, self.overall, label, self.grams) for u, label in labelled]).reshape(-1, len(FEATURES))
         self.trees = BoostedTrees().fit(x, y) if len(labelled) else None
 
     def score(self, urls: list[str | None]) -> np.ndarray:
         if self.trees is None or not urls:
             return np.zeros(len(urls))
-        return self.trees.predict(np.array([features(u, self.suffixes, self.overall, words=self.words) for u in urls]))
+        return self.trees.predict(np.array([features(u, self.suffixes, self.overall, grams=self.grams) for u in urls]))
 
 
 def learn(labelled: DataFrame, url: str = "url", label: str = "blocked", max_urls: int = 20_000) -> UrlModel:
@@ -193,8 +219,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: UrlModel,
     """pages with a struct column `into`: host, path, rule, verdict (block or allow), score (the trees').
 
     Host: after the first :// up to /, ? or #, A-Z lower-cased. Path: then up to ? or #. A null URL, or one without ://,
-    has both empty, fits no rule and is judged by the trees alone. A rule fits its host and all subdomains if the path
-    starts with the rule's; the longest rule wins, and of equally long ones the first given. Repeated rows are judged alike.
+    has both empty, fits no rule and is judged by the trees alone, as is an empty host. A rule fits its host and all
+    subdomains if the path starts with the rule's; the longest rule wins, and of equally long ones the first given. A score
+    of just the threshold blocks. URLs are read whole, whatever their length. Repeated rows are judged alike. All columns
+    stay, whatever their names, but for one called `into`, which the result replaces. An empty table gives an empty result.
     """
     u = F.coalesce(F.col(url), F.lit(""))
     host, path = ascii_lower(F.regexp_extract(u, PARTS, 1)), F.regexp_extract(u, PARTS, 2)
