@@ -321,6 +321,34 @@ def test_shards_keep_equal_texts_together(spark):
     assert len(by[zlib.crc32(b"hot")]) <= 4 and sum(len(s) > 1 for s in by.values()) <= 8
 
 
+def test_propagation_cuts_fewer_edges_than_hashing(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") / 9).cast("int"))).alias("text"))
+    rows, links = sharding.by_text(docs)
+    capacity = 3000 / 8
+    labels = sharding.propagate(links, 8, capacity)
+    hashed, cut = sharding.cut_edges(sharding.hash_labels(links.select("node").distinct(), 8), links), sharding.cut_edges(labels, links)
+    # The hot text needs three shards or more, so most of its 1000 rows but one shard's are cut whatever the labels.
+    assert cut < 0.45 * hashed and cut >= 1000 - capacity
+    final = sharding.even_shards(rows.join(labels, "node", "left").withColumn("n0", F.col("node")), 8)
+    assert sharding.cut_edges(final.select(F.col("n0").alias("node"), "shard"), links) < 0.5 * hashed
+
+
+def test_shards_do_not_depend_on_files(spark):
+    docs = spark.createDataFrame([(i % 400 if i % 11 else None, f"text {i % 150}" if i % 5 else None) for i in range(900)], "doc_id long, text string")
+    one, other = ({tuple(r) for r in sharding.shard(df, shards=7).collect()} for df in (docs.coalesce(1), docs.repartition(5, "text").sortWithinPartitions(F.desc("doc_id"))))
+    assert one == other and len({(r[3], r[4]) for r in one}) == 900
+    for s in range(7):
+        slots = sorted(r[4] for r in one if r[3] == s)
+        assert slots == list(range(len(slots))) and len(slots) in (128, 129)
+
+
+def test_small_cells_change_nothing(spark, monkeypatch):
+    docs = spark.range(700).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', concat('t', id % 90)) AS text")
+    monkeypatch.setattr(sharding, "CELL_ROWS", 16)
+    rows = sharding.shard(docs, shards=5).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(5) for i in range(140)]
+
+
 def test_url_trees_separate_labelled_urls():
     labelled = urls.seed()
     random.Random(1).shuffle(labelled)
