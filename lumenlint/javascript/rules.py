@@ -399,9 +399,14 @@ _WORDS = set("break case catch class const continue default delete do else expor
 
 
 def facts(path: str, text: str, limits: dict[str, int] | None = None) -> dict[str, list[tuple]]:
-    """findings, functions, edges, exports, flows and failed of one file. One that can't be read only has `failed`."""
+    """findings, functions, edges, exports, declared, flows and failed of one file. One that can't be read only has `failed`.
+
+    declared: how many statements declare variables with var, and how many with let or const.
+    """
     try:
         file = File(path, text)
-        return {"findings": file.run(limits), "functions": file.functions(), "edges": file.edges, "exports": sorted(set(file.exports)), "flows": flows(file), "failed": []}
+        how = [n.how for n in file.tree.walk() if n.kind == "Variables"]
+        declared = [(how.count("var"), len(how) - how.count("var"))]
+        return {"findings": file.run(limits), "functions": file.functions(), "edges": file.edges, "exports": sorted(set(file.exports)), "declared": declared, "flows": flows(file), "failed": []}
     except (ParseError, RecursionError) as e:
-        return {"findings": [], "functions": [], "edges": [], "exports": [], "flows": [], "failed": [(str(e)[:200],)]}
+        return {"findings": [], "functions": [], "edges": [], "exports": [], "declared": [], "flows": [], "failed": [(str(e)[:200],)]}

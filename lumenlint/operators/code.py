@@ -23,6 +23,7 @@ SHAPES = {
     "functions": "name string, line int, lines int, params int, cyclomatic int, cognitive int, nesting int",
     "edges": "target string, kind string, names string, type_only boolean, line int, path string",
     "exports": "name string, line int",
+    "declared": "old int, new int",
     "flows": "what string, fn string, line int, col int, rule_id string, origin string, leading boolean, clean string, source string, callee string, arg int, evidence string, path string",
     "failed": "reason string",
 }

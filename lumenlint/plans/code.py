@@ -13,8 +13,8 @@ from ..operators import flows as FL
 from ..operators import reports as RP
 from ..operators import text_rules as T
 from ..sources import reports as RS
-from .inputs import FINDINGS_SQL, findings, table
-from .relational import _SR, _accuracy_now
+from .inputs import FINDINGS_SQL, case, findings, table
+from .relational import _ACCURACY, _FP, _SR, _accuracy_now
 from .scan import function_measures, scan
 from .texts import _lines_of, _values
 
@@ -163,11 +163,11 @@ QUERIES = {
     "fix_plan": lambda s, d: fix_plan(_files(s, {k: v[0] for k, v in FIXED.items()})).select("file", "text"),
     "scan_findings": _scan_findings,
     "sarif_levels": lambda s, d: findings(s, d).groupBy(RP.level(F.col("severity")).alias("level")).agg(F.count("*").alias("findings")),
-    "sarif_results": lambda s, d: RP.sarif_results(FD.number_repeats(FD.fingerprint(findings(s, d)))).select(F.get_json_object("value", "$.ruleId").alias("rule_id"), F.get_json_object("value", "$.level").alias("level"), F.get_json_object("value", "$.locations[0].physicalLocation.region.startLine").cast("int").alias("line")).groupBy("rule_id", "level", "line").agg(F.count("*").alias("findings")),
+    "sarif_results": lambda s, d: RP.sarif_results(FD.number_repeats(FD.fingerprint(findings(s, d)))),
     "markdown_rows": lambda s, d: RP.markdown_rows(findings(s, d)).select("rank", "value"),
-    "json_lines": lambda s, d: RP.json_lines(findings(s, d)).select(F.get_json_object("value", "$.rule_id").alias("rule_id"), F.get_json_object("value", "$.file").alias("file")).groupBy("rule_id", "file").agg(F.count("*").alias("findings")),
+    "json_lines": lambda s, d: RP.json_lines(findings(s, d)),
     "baseline_compare": _baseline,
-    "accuracy_rows": lambda s, d: RP.accuracy_rows(_accuracy_now(s, d)).select("rule_id"),
+    "accuracy_rows": lambda s, d: RP.accuracy_rows(_accuracy_now(s, d)),
     "secret_report": lambda s, d: RS.secret_report(s.createDataFrame([(SECRET_REPORT,)], "text string")).drop("evidence"),
     "unused_report": lambda s, d: RS.unused_report(s.createDataFrame([(UNUSED_REPORT,)], "text string")).select("rule_id", "category", "file", "line", "evidence"),
     "marked_lines": lambda s, d: RS.marked_lines(_lines_of(s, MARKED)).drop("file"),
@@ -192,13 +192,15 @@ SELECT count(*) AS functions, round(coalesce(avg(lines), 0.0::DOUBLE), 6) AS mea
     "fix_plan": _values("file, text", [(k, v[1] and v[1].replace("'", "''")) for k, v in FIXED.items()]),
     "scan_findings": _values("rule_id, file, line", SCANNED),
     "sarif_levels": f"WITH {FINDINGS_SQL} SELECT {_LEVEL} AS level, count(*) AS findings FROM findings GROUP BY 1",
-    "sarif_results": f"WITH {FINDINGS_SQL} SELECT rule_id, {_LEVEL} AS level, line, count(*) AS findings FROM findings GROUP BY ALL",
+    "sarif_results": f"""WITH {FINDINGS_SQL}, i AS (SELECT *, {_FP} AS i FROM findings), n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY file, line, col, rule_id) AS n FROM i)
+SELECT file, line, col, rule_id, '{{"ruleId":"' || rule_id || '","level":"' || {_LEVEL} || '","message":{{"text":"' || {case("rule_id", {r: v[5].replace("'", "''") for r, v in RULES.items()})} || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file
+|| '"}},"region":{{"startLine":' || line || ',"startColumn":' || col || '}}}}}}],"partialFingerprints":{{"lumenlint/v1":"' || CASE WHEN n > 1 THEN i || '-' || n ELSE i END || '"}}}}' AS value FROM n""",
     "markdown_rows": f"WITH {FINDINGS_SQL} SELECT {_SR} AS rank, '- **' || rule_id || '** ' || severity || ' (' || confidence || ') `' || file || ':' || line || ':' || col || '`' AS value FROM findings",
-    "json_lines": f"WITH {FINDINGS_SQL} SELECT rule_id, file, count(*) AS findings FROM findings GROUP BY ALL",
+    "json_lines": f"WITH {FINDINGS_SQL} SELECT to_json(struct_pack(category := category, col := col, confidence := confidence, evidence := evidence, file := file, line := line, repo := repo, rule_id := rule_id, severity := severity))::VARCHAR AS value FROM findings",
     "baseline_compare": f"""WITH {FINDINGS_SQL}, n AS (SELECT repo, (10 - count(*) % 7)::DOUBLE AS score FROM findings GROUP BY repo),
 b AS (SELECT repo, score, CASE repo WHEN 'repo0' THEN score + 0.25::DOUBLE WHEN 'repo1' THEN score - 0.5::DOUBLE END AS was FROM n)
 SELECT repo, score, was, CASE repo WHEN 'repo0' THEN -0.3::DOUBLE WHEN 'repo1' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS delta, CASE repo WHEN 'repo0' THEN 'regression' WHEN 'repo1' THEN 'improved' ELSE 'no change' END AS verdict FROM b""",
-    "accuracy_rows": "SELECT * FROM (VALUES " + ", ".join(f"('{r}')" for r in RULES) + ") AS t(rule_id)",
+    "accuracy_rows": f"""WITH {_ACCURACY} SELECT rule_id, '| ' || rule_id || ' | ' || CASE WHEN labeled = 0 THEN 'not measured' ELSE printf('%.1f', accuracy) || ' %' || CASE WHEN labeled < 30 THEN ' (low)' ELSE '' END END || ' | ' || labeled || ' |' AS value FROM acc""",
     "secret_report": _values("rule_id, category, severity, confidence, file, line, col", [("EXT:key", "security", "HIGH", "HIGH", "a.ts", 3, 5)]),
     "unused_report": _values("rule_id, category, file, line, evidence", [("EXT:files", "deadCode", "old.ts", 1, "old.ts"), ("EXT:dependencies", "dependencies", "package.json", 1, "lib"), ("EXT:exports", "deadCode", "b.ts", 4, "f")]),
     "marked_lines": _values("id, what, line", [("key-1", "planted", 1), ("key-10", "planted", 2), ("safe", "decoy", 3)]),

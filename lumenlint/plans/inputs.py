@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import RULES, look_up
-from ..functions.paths import KINDS
 
 #: By user_id % 10: directories of every kind of file.
 DIRECTORIES = ("src/", "src/api/", "lib/core/", "tests/", "type-tests/", "examples/", "bench/", "scripts/", "fixtures/", "vendor/")
@@ -92,4 +91,7 @@ EDGES_SQL = f"""sn AS (SELECT s_suppkey, s_nationkey, s_acctbal, count(*) OVER (
 st AS (SELECT s_suppkey, floor(abs(s_acctbal) * 100)::BIGINT % n + 1 AS t FROM sn UNION ALL SELECT s_suppkey, s_suppkey % n + 1 FROM sn WHERE s_nationkey < 5),
 edges AS (SELECT DISTINCT {_MODULE('s_suppkey')} AS src, {_MODULE('t')} AS dst FROM st)"""
 MODULES_SQL = f"modules AS (SELECT {_MODULE('s_suppkey')} AS path FROM supplier)"
-KINDS_SQL = lambda c: "CASE " + " ".join(f"WHEN regexp_matches({c}, '" + "|".join(f"({x.replace('(?i)', '(?i:') + ')' if x.startswith('(?i)') else x})" for x in ps) + f"') THEN '{k}'" for k, ps in KINDS) + " ELSE 'production' END"
+#: Kinds as the directories above have them, said apart from the predicates that the queries use.
+KINDS_SQL = lambda c: f"""CASE split_part({c}, '/', 1) WHEN 'tests' THEN 'test' WHEN 'type-tests' THEN 'typeTest' WHEN 'examples' THEN 'example'
+WHEN 'bench' THEN 'benchmark' WHEN 'scripts' THEN 'script' WHEN 'fixtures' THEN 'fixture' WHEN 'vendor' THEN 'vendor' ELSE 'production' END"""
+TEST_SQL = "split_part(file, '/', 1) IN ('tests', 'fixtures')"

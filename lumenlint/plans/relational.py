@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import CATEGORY_PERCENT, CONFIDENCE_SHARE, CONFIDENCES, RULES, SCOPES, SEVERITIES, SEVERITY_COST, rules
-from ..functions.paths import TEST_PATH
 from ..operators import accuracy as A
 from ..operators import findings as FD
 from ..operators import scoring as S
-from .inputs import FINDINGS_SQL, KINDS_SQL, case, findings
+from .inputs import FINDINGS_SQL, KINDS_SQL, TEST_SQL, case, findings
 
 LOC = 20_000.0
 _SR, _CR = case("severity", {s: i for i, s in enumerate(SEVERITIES)}), case("confidence", {c: i for i, c in enumerate(CONFIDENCES)})
 _BACK_S, _BACK_C = lambda x: case(x, dict(enumerate(SEVERITIES))), lambda x: case(x, dict(enumerate(CONFIDENCES)))
-_TEST = f"regexp_matches(lower(file), '{TEST_PATH}')"
+_TEST = TEST_SQL
 _PENALTY = f"({case('severity', SEVERITY_COST)})::DOUBLE * ({case('confidence', CONFIDENCE_SHARE)})::DOUBLE * CASE WHEN {_TEST} THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"
 _CHUNKS = LOC / 500
 _COSTS = f"""{FINDINGS_SQL}, sums AS (SELECT category, rule_id, count(*) AS findings, sum({_PENALTY}) AS penalty FROM findings GROUP BY ALL),

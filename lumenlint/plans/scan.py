@@ -189,8 +189,12 @@ def security_findings(read: DataFrame, files: DataFrame, patterns: DataFrame) ->
     return both.select("rule_id", F.lit("security").alias("category"), "d.severity", "confidence", "file", "line", "d.col", "d.evidence")
 
 
-def scan(files: DataFrame, config: dict | None = None) -> Scan:
-    """files: file, size, text of one repository. config as sources.repository.load_config returns it."""
+def scan(files: DataFrame, config: dict | None = None, installed: bool = False, external: DataFrame | None = None) -> Scan:
+    """files: file, size, text of one repository. config as sources.repository.load_config returns it.
+
+    installed: whether its dependencies are there to be read; if they aren't, findings that need their types are a guess.
+    external: another tool's findings. Only code that ships, and the scripts around it, make the score, by its lines.
+    """
     config = config or R.DEFAULTS
     roled = materialise(R.roles(files, config["scan"]["include"], config["scan"]["exclude"]), "roles")
     everything = roled.filter("role IN ('source', 'text')")
@@ -198,7 +202,9 @@ def scan(files: DataFrame, config: dict | None = None) -> Scan:
     rules = config.get("rules", {})
     read = C.code_facts(source, {r: v["max"] for r, v in rules.items() if isinstance(v, dict) and isinstance(v.get("max"), int)})
     edges = materialise(resolved_edges(read, source, everything), "edges")
-    patterns = materialise(C.findings(read), "patterns")
+    styles = C.relation(read, "declared").agg(F.coalesce(F.sum("old"), F.lit(0)).alias("old"), F.coalesce(F.sum(F.col("old") + F.col("new")), F.lit(0)).alias("all")).first()
+    degraded = FD.types_degraded(installed, not X.manifest_dependencies(everything).isEmpty(), 0, 0)
+    patterns = materialise(FD.downgrade_types(C.without_legacy(C.findings(read), styles["all"], styles["old"]), degraded), "patterns")
     layers = config.get("architecture", {}).get("layers", {})
     parts = [
         patterns.filter("category <> 'security'"), security_findings(read, source, patterns), duplicate_findings(source),
@@ -208,16 +214,19 @@ def scan(files: DataFrame, config: dict | None = None) -> Scan:
     found = FD.union_all(parts).filter(~F.col("rule_id").isin(off) if off else F.lit(True))
     severity = {r: v["severity"].upper() for r, v in rules.items() if isinstance(v, dict) and "severity" in v}
     found = found.withColumn("severity", F.coalesce(look_up(F.col("rule_id"), severity), F.col("severity"))) if severity else found
+    found = found if external is None else FD.merge_external(found, external)
     found = FD.suppress(found, T.directives(T.lines(source)))
     found = FD.in_scope(found)
     found = found if config["scan"].get("includeNonProduction") else found.filter("NOT hidden")
     found = materialise(FD.number_repeats(FD.fingerprint(found.drop("hidden", "kind"))), "findings")
-    counted = source.select(T.line_count(F.col("text")).alias("n"), T.comment_lines(F.col("text")).alias("c"), is_test(F.col("file")).alias("test"))
-    measures = counted.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("loc"), F.coalesce(F.sum(F.when(F.col("test"), F.col("n"))), F.lit(0)).alias("test_loc"), F.coalesce(F.sum("c"), F.lit(0)).alias("comments"))
-    loc = measures.first()["loc"]
-    costs = S.rule_costs(found, float(loc))
+    scored = kind_of(F.col("file")).isin("production", "script")
+    counted = source.select(T.line_count(F.col("text")).alias("n"), T.comment_lines(F.col("text")).alias("c"), is_test(F.col("file")).alias("test"), scored.alias("scored"))
+    lines = lambda of, name: F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)).alias(name)
+    measures = counted.agg(F.count("*").alias("files"), lines(F.lit(True), "loc"), lines(F.col("test"), "test_loc"), lines(F.col("scored"), "scored_loc"), F.coalesce(F.sum("c"), F.lit(0)).alias("comments"))
+    measures = materialise(measures.withColumn("test_ratio", F.when(F.col("loc") > F.col("test_loc"), F.col("test_loc") / (F.col("loc") - F.col("test_loc"))).otherwise(0.0)), "measures")
+    costs = S.rule_costs(found.filter(scored), float(measures.first()["scored_loc"]))
     scores = S.category_scores(costs, bool(layers))
-    return Scan(found, C.relation(read, "functions"), edges, C.relation(read, "failed"), roled.select("file", "role"), costs, scores, S.overall(found, scores), measures)
+    return Scan(found, C.relation(read, "functions"), edges, C.relation(read, "failed"), roled.select("file", "role"), costs, scores, S.overall(found.filter(scored), scores), measures)
 
 
 def function_measures(functions: DataFrame) -> DataFrame:

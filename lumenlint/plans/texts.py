@@ -10,8 +10,9 @@ from ..functions.state import materialise
 from ..operators import duplication as D
 from ..operators import graph as G
 from ..operators import text_rules as T
+from ..sources import repository as R
 from ..sources import texts as X
-from .inputs import FILES_SQL, FINDINGS_SQL, KINDS_SQL, LINES_SQL, findings, table, text_files
+from .inputs import FILES_SQL, FINDINGS_SQL, KINDS_SQL, LINES_SQL, TEST_SQL, findings, table, text_files
 
 
 def _words():
@@ -39,13 +40,29 @@ islands AS (SELECT a, b, min(a_start)::INTEGER AS a_start, (max(a_start) + 60)::
 
 
 def _clusters(spark, sf):
-    isles = materialise(D.islands(D.star_pairs(_windows(spark, sf))), "islands")
-    found = G.components(isles.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    """Places are runs of overlapping blocks of a document; those that repeat each other are linked."""
+    isles = materialise(D.islands(D.star_pairs(_windows(spark, sf))).withColumn("b_end", F.col("b_start") + F.col("a_end") - F.col("a_start")), "islands")
+    block = lambda side: isles.select(F.col(side).alias("file"), F.col(f"{side}_start").alias("from"), F.col(f"{side}_end").alias("to"))
+    place = materialise(D.places(block("a").unionByName(block("b"))), "places")
+    for side, name in (("a", "u"), ("b", "v")):
+        at = place.select(F.col("file").alias(side), F.col("from").alias(f"{side}_start"), F.col("to").alias(f"{side}_end"), F.format_string("%012d:%09d", F.col("file"), F.col("place").cast("long")).alias(name))
+        isles = isles.join(at, [side, f"{side}_start", f"{side}_end"])
+    isles = materialise(isles, "linked-islands")
+    found = G.components(isles.select("u", "v"))
     size = found.groupBy("component").agg(F.count("*").alias("copies"))
-    span = isles.join(found.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.max(F.col("a_end") - F.col("a_start")).alias("span"))
+    span = isles.join(found.select(F.col("node").alias("u"), "component"), "u").groupBy("component").agg(F.max(F.col("a_end") - F.col("a_start")).alias("span"))
     return size.join(span, "component").select("component", "copies", "span", D.span_severity(F.col("span")).alias("severity"), F.when(F.col("copies") > 2, "LOW").otherwise("MEDIUM").alias("confidence"))
 
 
+def _shaped(spark, sf):
+    """Texts of which some begin with a generator's note or a licence banner, and some are one line."""
+    n = F.length("text")
+    text = F.when(n % 3 == 0, F.translate("text", "\n", " ")).otherwise(F.col("text"))
+    text = F.when(n % 5 == 0, F.concat(F.lit("// made by a tool\n// DO NOT EDIT\n"), text)).when(n % 7 == 0, F.concat(F.lit("/*! licence */\n"), text)).otherwise(text)
+    files = text_files(spark, sf).withColumn("text", text)
+    return files.select("file", R.generated_header(F.col("text")).alias("generated"), R.minified(F.col("text")).alias("minified"))
+
+
 PATHS = [".env", "api/.env.sample", "src/a.ts.bak", "src/old.js~", "src/a.ts", "x.orig", "notes.tmp", "src/.env.local", "env", "deploy/.environment"]
 DIFF = """diff --git a/src/a.ts b/src/a.ts
 --- a/src/a.ts
@@ -133,7 +150,7 @@ QUERIES = {
     "glob_filter": lambda s, d: findings(s, d).filter(P.matches_any(F.col("file"), GLOBS)).groupBy("file").agg(F.count("*").alias("findings")),
     "file_kind": lambda s, d: findings(s, d).select("file").distinct().select("file", P.kind_of(F.col("file")).alias("kind")),
     "test_file": lambda s, d: findings(s, d).select("file").distinct().filter(P.is_test(F.col("file"))),
-    "generated_by_shape": lambda s, d: text_files(s, d).select("file", (F.length("text") / F.size(F.split("text", "\n", -1)) > 200).alias("long_lines"), (F.length("text") >= 2000).alias("large")),
+    "generated_by_shape": _shaped,
     "dup_windows": lambda s, d: D.repeated(_windows(s, d)).groupBy("copies").agg(F.count("*").alias("windows"), F.sum("places").alias("places")),
     "dup_pairs": lambda s, d: D.star_pairs(_windows(s, d)),
     "dup_islands": lambda s, d: D.islands(D.star_pairs(_windows(s, d))),
@@ -160,14 +177,22 @@ sum(len(regexp_extract_all(text, '(?m)^[ \t]*(//|/\*|\*)')))::BIGINT AS comments
     "backup_and_env_files": _values("path, rule_id", [(".env", "HYGIENE004"), ("src/a.ts.bak", "HYGIENE003"), ("src/old.js~", "HYGIENE003"), ("x.orig", "HYGIENE003"), ("notes.tmp", "HYGIENE003"), ("src/.env.local", "HYGIENE004")]),
     "glob_filter": f"WITH {FINDINGS_SQL} SELECT file, count(*) AS findings FROM findings WHERE regexp_matches(file, '{_GLOBS}') GROUP BY file",
     "file_kind": f"WITH {FINDINGS_SQL} SELECT DISTINCT file, {KINDS_SQL('file')} AS kind FROM findings",
-    "test_file": f"WITH {FINDINGS_SQL} SELECT DISTINCT file FROM findings WHERE regexp_matches(lower(file), '{P.TEST_PATH}')",
-    "generated_by_shape": f"WITH {FILES_SQL} SELECT file, length(text) / len(string_split(text, chr(10))) > 200 AS long_lines, length(text) >= 2000 AS large FROM files",
+    "test_file": f"WITH {FINDINGS_SQL} SELECT DISTINCT file FROM findings WHERE {TEST_SQL}",
+    "generated_by_shape": f"""WITH {FILES_SQL}, m AS (SELECT file, length(text) AS n, CASE WHEN length(text) % 3 = 0 THEN replace(text, chr(10), ' ') ELSE text END AS t FROM files),
+s AS (SELECT file, CASE WHEN n % 5 = 0 THEN '// made by a tool' || chr(10) || '// DO NOT EDIT' || chr(10) || t WHEN n % 7 = 0 THEN '/*! licence */' || chr(10) || t ELSE t END AS text, n % 5 = 0 AS noted, n % 5 <> 0 AND n % 7 = 0 AS banner FROM m)
+SELECT file, noted AS generated, length(text) >= 2000 AND (length(text) / (length(text) - length(replace(text, chr(10), '')) + 1) > 200 OR (banner AND length(text) / (length(text) - length(replace(text, chr(10), '')) + 1) > 120)) AS minified FROM s""",
     "dup_windows": f"WITH {_WINDOWS}, c AS (SELECT hash, count(DISTINCT file) AS copies, count(*) AS places FROM win GROUP BY hash) SELECT copies, count(*) AS windows, sum(places)::BIGINT AS places FROM c WHERE copies > 1 GROUP BY copies",
     "dup_pairs": f"WITH {_WINDOWS} SELECT * FROM pairs",
     "dup_islands": f"WITH {_WINDOWS} SELECT * FROM islands",
-    "dup_clusters": f"""WITH RECURSIVE {_WINDOWS}, e AS (SELECT a AS u, b AS v FROM islands UNION SELECT b, a FROM islands),
+    "dup_clusters": f"""WITH RECURSIVE {_WINDOWS}, isl AS (SELECT *, b_start + a_end - a_start AS b_end FROM islands),
+bl AS (SELECT a AS file, a_start AS s, a_end AS t FROM isl UNION SELECT b, b_start, b_end FROM isl),
+rn AS (SELECT *, max(t) OVER (PARTITION BY file ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM bl),
+gr AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM rn),
+pl AS (SELECT *, lpad(file::VARCHAR, 12, '0') || ':' || lpad((min(s) OVER (PARTITION BY file, g))::VARCHAR, 9, '0') AS node FROM gr),
+li AS (SELECT p.node AS u, q.node AS v, a_end - a_start AS span FROM isl JOIN pl p ON a = p.file AND a_start = p.s AND a_end = p.t JOIN pl q ON b = q.file AND b_start = q.s AND b_end = q.t),
+e AS (SELECT u, v FROM li UNION SELECT v, u FROM li),
 r AS (SELECT DISTINCT u AS node, u AS reach FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.reach = e.u), c AS (SELECT node, min(reach) AS component FROM r GROUP BY node),
-z AS (SELECT component, count(*) AS copies FROM c GROUP BY 1), s AS (SELECT component, max(a_end - a_start) AS span FROM islands JOIN c ON a = node GROUP BY 1)
+z AS (SELECT component, count(*) AS copies FROM c GROUP BY 1), s AS (SELECT component, max(span)::INTEGER AS span FROM li JOIN c ON u = node GROUP BY 1)
 SELECT component, copies, span, CASE WHEN span >= 240 THEN 'HIGH' WHEN span >= 120 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN copies > 2 THEN 'LOW' ELSE 'MEDIUM' END AS confidence FROM z JOIN s USING (component)""",
     "data_windows": f"WITH {_WINDOWS}, l AS (SELECT file, start::INTEGER AS start, len(list_filter(w[start + 1:start + 60], lambda x: length(x) <= 2))::INTEGER AS literals FROM wpos) SELECT * FROM l WHERE literals >= 18",
     "nearest_owner_prefix": r"""WITH p AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/$', '') AS path FROM pages),

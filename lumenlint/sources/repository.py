@@ -40,6 +40,7 @@ def load_config(text: str | None) -> dict:
     return {k: {**v, **own[k]} if isinstance(own.get(k), dict) else v for k, v in DEFAULTS.items()}
 
 
+# Fixed values of the next two: marks that generators leave, the numbers of lines and characters looked at, and the limits.
 def generated_header(text: Column) -> Column:
     """Whether the comments at the top say that a tool wrote the file, or its end carries a source map."""
     lines = F.slice(F.split(text, r"\r\n|\r|\n", -1), 1, 40)
