@@ -28,11 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 
 BLANK = "▁"
 STEP_CHARS = 48  # units of at most so many characters are encoded in step
-MEMORY_UNITS = 250_000  # units kept per process
+MEMORY_UNITS = 400_000  # units kept per process, half of them since the memory was last turned over
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -96,6 +96,8 @@ class Model:
         chars = sorted({c for p in self.ids for c in p} - set(self.ids))
         self.symbol = {c: self.ids.get(c, 0) for p in self.ids for c in p} | {c: len(self.pieces) + i for i, c in enumerate(chars)}
         self.strange = len(self.pieces) + len(chars)  # any character that is in no piece
+        self.symbol_of = np.full(0x110000, self.strange, np.int32)
+        self.symbol_of[[ord(c) for c in self.symbol]] = list(self.symbol.values())
         order = sorted(self.ids.values(), key=lambda i: (-scores[i], i))
         same = {s: r for r, s in enumerate(sorted({-scores[i] for i in order}))}
         pairs = {}
@@ -136,7 +138,7 @@ class Model:
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Where pair_rank and pair_into hold each pair; their last entry stands for none. Negative symbols have no pairs."""
-        keys = left * (self.strange + 1) + right
+        keys = left.astype(np.int64) * (self.strange + 1) + right
         keys[(left < 0) | (right < 0)] = -2
         at = self._hash(keys)
         found = self.slot_at[at]
@@ -185,30 +187,33 @@ class Model:
         return self.ids_of([symbols[i] for i in left], [unit[i] for i in left])
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
-        """encode_unit for units of at most STEP_CHARS characters each, one merge of every unit at a time."""
-        out: list[list[int]] = [[]] * len(units)
+        return [np.frombuffer(b, "<u4").tolist() for b in self.merged(units)[0]]
+
+    def merged(self, units: list[str]) -> tuple[list[bytes], list[int]]:
+        """encode_unit for units of at most STEP_CHARS characters each, one merge of every unit at a time.
+
+        Ids as little-endian unsigned 32-bit integers, and which units have characters that became bytes.
+        """
+        out, with_bytes = [b""] * len(units), []
         by_length: dict[int, list[int]] = {}
         for i, u in enumerate(units):
             by_length.setdefault(-(-len(u) // 4) * 4, []).append(i)
         for width, members in by_length.items():
             lengths = np.array([len(units[i]) for i in members])
-            symbols = np.full((len(members), width + 1), -1, np.int64)
-            get, strange = self.symbol.get, self.strange
-            flat = [get(c, strange) for i in members for c in units[i]]
-            symbols[:, :width][np.arange(width) < lengths[:, None]] = flat
-            start = np.tile(np.arange(width + 1), (len(members), 1))  # first character of each symbol
+            symbols = np.full((len(members), width + 1), -1, np.int32)
+            points = np.frombuffer("".join([units[i] for i in members]).encode("utf-32-le", "surrogatepass"), "<u4")
+            symbols[:, :width][np.arange(width) < lengths[:, None]] = self.symbol_of[points]
             pair = self.look_up(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(members), width)
             rows = np.arange(len(members))
             done_rows, column = np.arange(len(members)), np.arange(width + 1)
             final = np.full_like(symbols, -1)
-            first = np.full_like(start, 0)
             while len(rows):
                 rank = self.pair_rank[pair]
                 best = rank.argmin(axis=1)
                 on = rank[done_rows, best] < 1 << 40
                 if not on.all():
-                    final[rows[~on]], first[rows[~on]] = symbols[~on], start[~on]
-                    rows, symbols, start, pair, best = rows[on], symbols[on], start[on], pair[on], best[on]
+                    final[rows[~on]] = symbols[~on]
+                    rows, symbols, pair, best = rows[on], symbols[on], pair[on], best[on]
                     done_rows = np.arange(len(rows))
                     if not len(rows):
                         break
@@ -217,7 +222,6 @@ class Model:
                 source = column[None, :] + (column[None, :] > best[:, None])
                 source[:, -1] = width
                 symbols = np.take_along_axis(symbols, source, axis=1)
-                start = np.take_along_axis(start, source, axis=1)
                 symbols[:, -1] = -1
                 pair = np.take_along_axis(pair, np.minimum(source[:, :-1], width - 1), axis=1)
                 pair[:, -1] = len(self.pair_rank) - 1
@@ -225,35 +229,43 @@ class Model:
                     ok = (at >= 0) & (at < width)
                     r, a = done_rows[ok], at[ok]
                     pair[r, a] = self.look_up(symbols[r, a], symbols[r, a + 1])
-            n_left = (final >= 0).sum(axis=1).tolist()
-            plain = ((final < len(self.pieces)).all(axis=1)).tolist()
-            for i, n, simple, s, f in zip(members, n_left, plain, final.tolist(), first.tolist()):
-                out[i] = s[:n] if simple else self.ids_of(s[:n], [units[i][k] for k in f[:n]])
-        return out
+            ends = (final >= 0).sum(axis=1) * 4
+            data, size = final.astype("<u4").tobytes(), 4 * (width + 1)
+            for row, (i, end) in enumerate(zip(members, ends.tolist())):
+                out[i] = data[row * size : row * size + end]
+            for row in np.flatnonzero((final >= len(self.pieces)).any(axis=1)).tolist():
+                i, at, ids = members[row], 0, []
+                for s in final[row, : ends[row] // 4].tolist():
+                    ids += self.ids_of([s], units[i][at])
+                    at += len(self.pieces[s]) if s < len(self.pieces) else 1
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+                with_bytes.append(i)
+        return out, with_bytes
 
     def split(self, text: str) -> list[str]:
         """The units of a normalised text."""
         return self.units.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids, special ones left out; the dummy prefix goes."""
+    def joined(self, ids: list[int]) -> str:
+        """The pieces' texts, runs of bytes read as UTF-8."""
         text_of = self.text_of
-        if self.bytes_in(ids):
-            parts, run = [], bytearray()
-            for i in ids:
-                b = self.byte_of.get(i)
-                if b is not None:
-                    run.append(b)
-                    continue
-                if run:
-                    parts.append(_utf8(bytes(run)))
-                    run.clear()
-                parts.append(text_of[i])
+        parts, run = [], bytearray()
+        for i in ids:
+            b = self.byte_of.get(i)
+            if b is not None:
+                run.append(b)
+                continue
             if run:
                 parts.append(_utf8(bytes(run)))
-            out = "".join(parts)
-        else:
-            out = "".join([text_of[i] for i in ids])
+                run.clear()
+            parts.append(text_of[i])
+        if run:
+            parts.append(_utf8(bytes(run)))
+        return "".join(parts)
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids, special ones left out; the dummy prefix goes."""
+        out = self.joined(ids) if self.bytes_in(ids) else "".join([self.text_of[i] for i in ids])
         # The prefix is the blank that begins the first piece, whatever that piece is.
         first = next((i for i in ids if self.kinds[i] != CONTROL), None)
         return out[1:] if first is not None and self.pieces[first].startswith(BLANK) else out
@@ -288,42 +300,64 @@ class Encoder:
     def __init__(self, data: bytes):
         import sentencepiece
 
-        self.model, self.memory, self.long = Model(data), {}, set()
+        self.model, self.long = Model(data), set()
+        #: unit: its ids as bytes. What `memory` lacks may be in `older`.
+        self.memory, self.older = {}, {}
+        #: The few units that don't decode to themselves, and what they decode to.
+        self.odd: dict[str, str] = {}
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.memory) + len(units) > MEMORY_UNITS:
-            self.memory.clear()
-        short = [u for u in units if len(u) <= STEP_CHARS]
-        for u, ids in zip(short, self.model.encode_units(short)):
-            self.memory[u] = np.array(ids, "<u4").tobytes()
-        for u in units:
-            if len(u) > STEP_CHARS:
-                self.memory[u] = np.array(self.model.encode_unit(u), "<u4").tobytes()
+        short, long = [u for u in units if len(u) <= STEP_CHARS], [u for u in units if len(u) > STEP_CHARS]
+        found, odd = self.model.merged(short)
+        self.memory.update(zip(short, found))
+        self.memory.update((u, struct.pack(f"<{len(ids)}I", *ids)) for u, ids in zip(long, map(self.model.encode_unit, long)))
+        # Merges join the texts of pieces, so only a unit with bytes may decode to something else. Its characters became
+        # bytes whole, and no run of bytes goes on from one unit to the next.
+        for u in [*(short[i] for i in odd), *long]:
+            text = self.model.joined(np.frombuffer(self.memory[u], "<u4").tolist())
+            if text != u.replace(BLANK, " "):
+                self.odd[u] = text
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, with begin and end. self.long: texts with new long units."""
+        return [ids for ids, _ in self.encode_decode(texts)]
+
+    def encode_decode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, with begin and end, and what they decode to.
+
+        self.long: the texts with new long units.
+        """
         self.long = set()
-        ends = [np.array([x], "<u4").tobytes() for x in (self.model.bos, self.model.eos)]
-        out: list[bytes] = []
+        model = self.model
+        begin, end = (struct.pack("<I", x) for x in (model.bos, model.eos))
+        out: list[tuple[bytes, str]] = []
         at = 0
         while at < len(texts):  # so many texts at once that their units surely fit the memory
             chars, split = 0, []
             while at < len(texts) and (not split or chars + len(texts[at]) <= MEMORY_UNITS // 2):
                 chars += len(texts[at])
-                split.append(self.model.split(texts[at]))
+                split.append(model.split(texts[at]))
                 at += 1
-            memory = self.memory
-            new = {u for units in split for u in units if u not in memory}
+            used = set().union(*split)
+            new = used - self.memory.keys()
+            if new and len(self.memory) + len(new) > MEMORY_UNITS // 2:
+                self.older, self.memory, new = self.memory, {}, used
+                self.odd = {u: t for u, t in self.odd.items() if u in self.older}
+            known = new & self.older.keys()
+            self.memory.update((u, self.older[u]) for u in known)
+            new -= known
             if new:
-                if len(memory) + len(new) > MEMORY_UNITS:
-                    memory.clear()
-                    new = {u for units in split for u in units}
                 self._learn(new)
                 new = {u for u in new if len(u) > STEP_CHARS}
             if new:
                 self.long.update(len(out) + i for i, units in enumerate(split) if not new.isdisjoint(units))
-            out += [ends[0] + b"".join([memory[u] for u in units]) + ends[1] for units in split]
+            memory = self.memory
+            for units in split:
+                odd = self.odd and not self.odd.keys().isdisjoint(units)
+                text = "".join([self.odd.get(u, u) for u in units] if odd else units).replace(BLANK, " ")
+                # The dummy prefix goes, as in Model.decode.
+                prefixed = units and model.pieces[int.from_bytes(memory[units[0]][:4], "little")].startswith(BLANK)
+                out.append((b"".join([begin, *[memory[u] for u in units], end]), text[1:] if prefixed else text))
         return out
 
     def check(self, text: str, ids: bytes, decoded: str) -> None:
@@ -356,12 +390,10 @@ def encoder_udf(data: bytes, with_ids: bool, with_text: bool):
             checked = min(range(len(texts)), key=lambda i: zlib.crc32(texts[i].encode("utf-8", "surrogatepass")), default=None)
             for at in range(0, len(texts), 256):
                 some, rows = texts[at : at + 256], []
-                for i, (t, ids) in enumerate(zip(some, encoder.encode(some))):
-                    numbers = np.frombuffer(ids, "<u4").tolist()
-                    decoded = encoder.model.decode(numbers)
+                for i, (t, (ids, decoded)) in enumerate(zip(some, encoder.encode_decode(some))):
                     if at + i == checked or i in encoder.long:
                         encoder.check(t, ids, decoded)
-                    row = (len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+                    row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                     rows.append((*row, *[np.frombuffer(ids, "<i4")] * with_ids, *[decoded] * with_text))
                 yield pd.DataFrame(rows, columns=columns)
 
@@ -383,14 +415,16 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str | None = None,
 
     The session's Arrow batches are set to BATCH_BYTES, which bounds a worker's memory for texts of any length.
     Ids are those of the sentencepiece library with begin and end. Null and empty texts have these two ids only, and
-    decode to an empty text. Texts are encoded whole. Repeated rows are encoded alike; other columns stay as they are.
+    decode to an empty text. Texts are encoded whole. Of pairs with equal scores the leftmost goes first. Repeated rows are
+    encoded alike; other columns stay as they are, but for one called `into`, which the result replaces. An empty table
+    gives an empty result.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.withColumn(into, encoder_udf(model_bytes(model), with_ids, with_text)(F.col(text)))
 
 
 def op6_sentencepiece(spark, sf_dir):
-    out = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False, with_text=False)
+    out = encode_pieces(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), with_ids=False, with_text=False)
     return out.select("doc_id", "pieces.*")
 
 

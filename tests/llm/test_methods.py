@@ -153,6 +153,7 @@ def encoder():
 def test_pieces_equal_the_library(encoder, text):
     ids = encoder.encode([text])[0]
     encoder.check(text, ids, encoder.model.decode(np.frombuffer(ids, "<u4").tolist()))
+    assert encoder.encode_decode([text, text])[1] == (ids, encoder.model.decode(np.frombuffer(ids, "<u4").tolist()))
     units = encoder.model.split(text)
     assert [encoder.model.encode_unit(u) for u in units] == encoder.model.encode_units(units)
 
@@ -196,6 +197,49 @@ def test_langid_on_held_out_documents(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
 
 
+def test_langid_query_against_brute_force(spark):
+    """Every document of the table, one byte after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    net = langid.learn(docs.filter(~held).select("doc_id", "text", "lang"))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(layer, symbols):
+        k, h, out = layer.u.shape[1], np.zeros(layer.u.shape[1]), []
+        for x in symbols:
+            a, g = layer.e[x].astype(float), layer.u.astype(float) @ h
+            z, r = sigmoid(a[:k] + g[:k]), sigmoid(a[k : 2 * k] + g[k : 2 * k])
+            h = (1 - z) * np.tanh(a[2 * k :] + r * (g[2 * k :] + layer.c[:, 0])) + z * h
+            out.append(h)
+        return np.array(out)
+
+    got, lead = {r.doc_id: r for r in langid.op4_langid(spark, SF).collect()}, langid.LEAD
+    rows = docs.collect()
+    assert set(got) == {r.doc_id for r in rows}
+    for row in rows[::4] + [max(rows, key=lambda r: len(r.text or "") % 5000)]:
+        data, r = list((row.text or "").encode()), got[row.doc_id]
+        assert r.held_out == (zlib.crc32(str(row.doc_id).encode()) % 4 == 2)
+        if not re.search(r"[^\W\d_]", row.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        total = np.zeros(len(net.langs))
+        for at in range(0, len(data), langid.WINDOW):
+            kept = min(langid.WINDOW, len(data) - at)
+            x = [data[i] if 0 <= i < len(data) else langid.PAD for i in range(at - lead, at - (-kept // langid.WIDTHS) * langid.WIDTHS + lead)]
+            both = np.concatenate([states(net.forward, x), states(net.backward, x[::-1])[::-1]], axis=1)
+            e = np.exp(both[lead : lead + kept] @ net.w.T + net.b[:, 0])
+            total += (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+        mean = total / len(data)
+        assert abs(mean[net.langs.index(r.lang_pred)] - mean.max()) < 1e-4 and abs(r.score - mean.max()) < 1e-4
+
+
+def test_a_text_gets_the_same_language_score_in_any_batch():
+    net = langid.Network(["a", "b", "c"])
+    texts = [b"x" * n + b"some words" for n in (0, 3, 50, 229, 230, 700)]
+    together = net.predict(texts)
+    assert all(np.allclose(net.predict([t])[0], p, atol=1e-6) for t, p in zip(texts, together))
+
+
 def test_windows_label_each_byte_once():
     texts = [b"", b"a", b"xy" * 119, b"q" * 240, b"r" * 241, b"s" * 5000]
     kept = np.zeros(len(texts), int)
