@@ -19,12 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 
 WINDOW, LEAD, HIDDEN = 240, 8, 8
 LETTER = re.compile(r"[^\W\d_]")
 PAD = 256  # a symbol before and after a text
 ROWS = 1024  # windows computed at once
+WIDTHS = 60  # windows are padded to a multiple of so many bytes, which depends on the window alone
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -165,14 +166,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def windows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(time x rows symbols, text of each row, bytes labelled in each row), at most ROWS rows at once."""
-    size = WINDOW + 2 * LEAD
     starts = [(i, a) for i, t in enumerate(texts) for a in range(0, len(t), WINDOW)]
-    # Windows of like length go together: a short text needs no full window.
-    starts.sort(key=lambda s: min(WINDOW, len(texts[s[0]]) - s[1]))
-    for at in range(0, len(starts), ROWS):
-        some = starts[at : at + ROWS]
+    # Windows of one width go together, so that no text's result depends on the others in its batch.
+    by_width: dict[int, list[tuple[int, int]]] = {}
+    for i, a in starts:
+        by_width.setdefault(-(-min(WINDOW, len(texts[i]) - a) // WIDTHS) * WIDTHS + 2 * LEAD, []).append((i, a))
+    for width, some in ((w, s[at : at + ROWS]) for w, s in by_width.items() for at in range(0, len(s), ROWS)):
         kept = np.array([min(WINDOW, len(texts[i]) - a) for i, a in some])
-        width = min(size, int(kept.max()) + 2 * LEAD)
         x = np.full((len(some), width), PAD, np.int16)
         for j, (i, a) in enumerate(some):
             lo = max(0, a - LEAD)
@@ -226,7 +226,8 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", into: str
     """docs with a struct column `into`: lang_pred, score (mean probability of that language over all bytes).
 
     Null texts and texts without a letter are `und` with score 0. Ties go to the language that sorts first. Repeated rows
-    get the same; other columns stay as they are and are never read.
+    get the same; other columns stay as they are and are never read, but for one called `into`, which the result replaces.
+    Texts are read whole, in windows, whatever their length. An empty table gives an empty result.
     """
     return docs.withColumn(into, predictor(net)(F.col(text)))
 
@@ -235,7 +236,7 @@ def op4_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     net = learn(docs.filter(~held).select("doc_id", "text", "lang"))
-    return identify(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out")), net).select("doc_id", "held_out", "language.*")
+    return identify(spread(docs).select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out")), net).select("doc_id", "held_out", "language.*")
 
 
 QUERIES = {"op4_langid": op4_langid}

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, spread, table
 
 _WORD = re.compile(WORD)
 #: A word without any letter. Letters are A-Z, a-z and all characters from U+00C0 on.
@@ -97,7 +97,8 @@ def ledger(docs: DataFrame, text: str = "text", into: str = "quality_ledger") ->
     """docs with a struct column `into`: every measure, and `mask` with a bit for each rule that fails.
 
     Every row gets a ledger entry: null and empty texts measure 0 everywhere and fail too_short. Texts are read whole.
-    Repeated rows are measured alike. Other columns stay as they are.
+    Repeated rows are measured alike. Other columns stay as they are, but for one called `into`, which the result
+    replaces. There are no ties. An empty table gives an empty result.
     """
     measured = docs.withColumn(into, F.pandas_udf(_measured, ", ".join(f"{m} long" for m in MEASURES))(F.col(text)))
     return measured.withColumn(into, F.col(into).withField("mask", failure_bits(into)))
@@ -119,7 +120,7 @@ def ablations(ledgers: DataFrame, policy: str, into: str = "quality_ledger") ->
 
 
 def op3_quality_rules(spark, sf_dir):
-    out = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = ledger(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     m = F.col("quality_ledger")
     return out.select("doc_id", *[m[x].alias(x) for x in MEASURES[:5]], (~passes(m["mask"], "base-1")).alias("base_failed"), passes(m["mask"], "full-1").alias("kept"), m["mask"].alias("failure_mask"))
 

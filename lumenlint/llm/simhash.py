@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, UPPER, WORD, materialise, table
+from .common import LOWER, NO_ID, UPPER, WORD, materialise, spread, table
 
 _WORD = re.compile(WORD)
 _ASCII_LOWER = str.maketrans(UPPER, LOWER)
@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Null and empty texts, and those of blanks only, have fingerprint zero and link like any other. Rows with a null doc_id
     are kept and linked; their own id counts as larger than all others, and a component of only such rows has a null id.
-    Repeated rows come back repeated. An empty table gives an empty result. Other columns are not read.
+    Repeated rows come back repeated. A bit that just half of the shingles set is 0. Texts are read whole, whatever their
+    length. An empty table gives an empty result. Other columns are not read, whatever their names.
     """
     of = F.pandas_udf(_fingerprints, "long")
     rows = materialise(docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long").alias("o"), of(F.col(text)).alias("fp")), "fingerprints")
@@ -264,7 +265,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def op5_simhash(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("fingerprint_bits")
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("fingerprint_bits")
 
 
 QUERIES = {"op5_simhash": op5_simhash}
