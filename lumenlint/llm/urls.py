@@ -46,8 +46,9 @@ _GOOD_SUFFIXES = [*_SUFFIXES, "edu", "gov", "eu", "museum", "ac.uk", "ch", "nl"]
 def seed(rounds: int = 12) -> list[tuple[str, int]]:
     """(url, 1 if it is to be blocked). Both classes have plain paths, slugs, parameters and hyphenated hosts.
 
-    No name of a host, no word of a hyphenated name and no path form is taken from the tables the queries run on, so that
-    figures on these aren't figures on the seed.
+    No host, no hyphenated name and no path form (but a bare /) is taken from the tables the queries run on, so that
+    figures on these aren't figures on the seed. Of the words of the tables' hyphenated names, ads and track occur as
+    labels of well-known ad hosts, and win as a top-level domain.
     """
     rng = np.random.default_rng(5)
     pick = lambda some: str(some[int(rng.integers(len(some)))])
