@@ -32,7 +32,7 @@ from .common import spread, table
 
 BLANK = "▁"
 STEP_CHARS = 48  # units of at most so many characters are encoded in step
-MEMORY_UNITS = 400_000  # units kept per process, half of them since the memory was last turned over
+MEMORY_UNITS = 250_000  # units kept per process, half of them since the memory was last turned over
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
