@@ -1,14 +1,17 @@
 """Facts of source files as relations: one pass of the parser per file, all relations out of its table.
 
-Files are dealt evenly by a hash of their path before parsing, so that a folder of large files isn't one task.
+Files are dealt evenly by a hash of their path before parsing, so that a folder of large files isn't one task. A process
+cuts a text that comes again into windows once, as long as it keeps it; every file gets its rows either way.
 """
 
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,12 @@ SHAPES = {
     "flows": "what string, fn string, line int, col int, rule_id string, origin string, leading boolean, clean string, source string, callee string, arg int, evidence string, path string",
     "failed": "reason string",
 }
-_SCHEMA = "file string, " + ", ".join(f"{k} array<struct<{', '.join(c.replace(' ', ': ') for c in v.split(', '))}>>" for k, v in SHAPES.items())
+WINDOWS = {"windows": "start int, line int, last int, hash string"}
+KEPT = 1 << 20  # characters of texts; their facts take some tens of MB
+
+
+def _schema(shapes: dict[str, str]) -> str:
+    return "file string, " + ", ".join(f"{k} array<struct<{', '.join(c.replace(' ', ': ') for c in v.split(', '))}>>" for k, v in shapes.items())
 
 
 def relative(file: str, target: str) -> str | None:
@@ -38,6 +46,45 @@ def relative(file: str, target: str) -> str | None:
     return None if path.startswith("..") else "" if path == "." else path
 
 
+class Kept:
+    """of(file, text), which may read nothing of the path but its suffix. What it returned stays until newer texts fill KEPT characters."""
+
+    def __init__(self, of: Callable[[str, str], Any]):
+        self.of, self.kept, self.size = of, {}, 0
+
+    def __call__(self, file: str, text: str) -> Any:
+        key = file[file.rfind(".") :] if "." in file else f"/{file}", text
+        got = self.kept.pop(key, None)
+        if got is None:
+            got = self.of(file, text)
+            self.size += len(text) + 64
+        self.kept[key] = got
+        while self.size > KEPT:
+            _, old = next(iter(self.kept))
+            del self.kept[next(iter(self.kept))]
+            self.size -= len(old) + 64
+        return got
+
+
+def _per_file(batches: Iterator[pa.RecordBatch], read: Callable[[str, str], dict[str, list[dict]]], shapes: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """file and an array of structs for each shape. Equal rows are made once for a batch of up to KEPT characters of text."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    made = pa.schema([(k, pa.list_(pa.struct([(n, kinds[kind]) for n, kind in (c.split(" ") for c in v.split(", "))]))) for k, v in shapes.items()])
+    schema = pa.schema([("file", pa.string()), *made])
+    for batch in batches:
+        files, texts = batch.column("file").to_pylist(), batch.column("text").to_pylist()
+        at = 0
+        while at < len(files):
+            first, which, size, rows = at, [], 0, {}
+            while at < len(files) and size < KEPT and at - first < 4096:
+                row = read(files[at], texts[at] or "")
+                which.append(rows.setdefault(id(row), (len(rows), row))[0])
+                size += len(texts[at] or "")
+                at += 1
+            once = pa.RecordBatch.from_pylist([row for _, row in rows.values()], made)
+            yield pa.RecordBatch.from_arrays([pa.array(files[first:at], pa.string()), *once.take(pa.array(which, pa.int32())).columns], schema=schema)
+
+
 def _reader(limits: dict[str, int] | None):
     names = {k: [c.split(" ")[0] for c in v.split(", ")] for k, v in SHAPES.items()}
 
@@ -64,7 +111,7 @@ def _dealt(files: DataFrame) -> DataFrame:
 
 def code_facts(files: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """file and an array of structs for each relation of SHAPES, in the shared folder. files: file, text; null texts are empty."""
-    return materialise(_dealt(files).mapInPandas(_reader(limits), _SCHEMA), "code-facts")
+    return materialise(_dealt(files).mapInPandas(_reader(limits), _schema(SHAPES)), "code-facts")
 
 
 def relation(read: DataFrame, name: str) -> DataFrame:
@@ -93,31 +140,59 @@ def renamed(tokens: list[str]) -> list[str]:
     return [seen.setdefault(t, f"0{len(seen)}") if t[0] == "0" else t for t in tokens]
 
 
+def _cutter(width: int, step: int):
+    names = [c.split(" ")[0] for c in WINDOWS["windows"].split(", ")]
+
+    def windows(path: str, text: str) -> dict[str, list[dict]]:
+        import hashlib
+
+        from ..javascript.parser import ParseError
+        from ..javascript.rules import File
+
+        try:
+            tokens = File(path, text).code_tokens()
+        except (ParseError, RecursionError):
+            return {"windows": []}
+        rows = []
+        for at in range(0, len(tokens) - width + 1, step):
+            some = [t for t, _ in tokens[at : at + width]]
+            data = sum(t[1:2] in "\"'`0123456789" and t[0] == "1" for t in some)
+            logic = sum(t[0] == "1" and (t[1:2].isalpha() or t[1:] in ("(", "=", "=>", "&&", "||", "?", "+", "-", "*", "/", "<", ">", "===", "!==")) for t in some)
+            if data < 0.3 * width and logic >= 0.1 * width:
+                rows.append((at, tokens[at][1], tokens[at + width - 1][1], hashlib.sha1(" ".join(renamed(some)).encode("utf-8", "surrogatepass")).hexdigest()))
+        return {"windows": [dict(zip(names, r)) for r in rows]}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _per_file(batches, Kept(windows), WINDOWS)
+
+    return cut
+
+
+def _windows(files: DataFrame, width: int, step: int) -> DataFrame:
+    return _dealt(files).mapInArrow(_cutter(width, step), _schema(WINDOWS))
+
+
 def code_windows(files: DataFrame, width: int = WIDTH, step: int = 5) -> DataFrame:
     """file, start, line, last, hash of every step-th window of tokens, with identifiers numbered within the window.
 
     Windows that hold data rather than logic (30 % literals or more, or hardly a word of the language) are left out.
     """
+    return relation(_windows(files, width, step), "windows")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
 
-        from ..javascript.parser import ParseError
-        from ..javascript.rules import File
+def code_copies(files: DataFrame, width: int = WIDTH, step: int = 5) -> DataFrame:
+    """hash, copies: in how many files each hash of code_windows occurs.
 
-        for pdf in batches:
-            for file, text in zip(pdf["file"], pdf["text"]):
-                try:
-                    tokens = File(file, text or "").code_tokens()
-                except (ParseError, RecursionError):
-                    continue
-                rows = []
-                for at in range(0, len(tokens) - width + 1, step):
-                    some = [t for t, _ in tokens[at : at + width]]
-                    data = sum(t[1:2] in "\"'`0123456789" and t[0] == "1" for t in some)
-                    logic = sum(t[0] == "1" and (t[1:2].isalpha() or t[1:] in ("(", "=", "=>", "&&", "||", "?", "+", "-", "*", "/", "<", ">", "===", "!==")) for t in some)
-                    if data < 0.3 * width and logic >= 0.1 * width:
-                        rows.append((file, at, tokens[at][1], tokens[at + width - 1][1], hashlib.sha1(" ".join(renamed(some)).encode("utf-8", "surrogatepass")).hexdigest()))
-                yield pd.DataFrame(rows, columns=["file", "start", "line", "last", "hash"])
-
-    return _dealt(files).mapInPandas(cut, "file string, start int, line int, last int, hash string")
+    Each distinct text is cut once, and files are counted by their text (128 bits of its hash), so that no row per file and
+    window shuffles. A file that comes with several texts counts once for what these share.
+    """
+    suffix = F.concat(F.lit("."), F.substring_index("file", ".", -1))  # all that the parser takes of a path
+    named = files.select("file", suffix.alias("suffix"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.concat(F.hex(F.xxhash64("suffix", "text")), F.hex(F.xxhash64(F.lit(1), "suffix", "text")), "suffix")
+    sets = named.select("file", key.alias("key")).groupBy("file").agg(F.array_sort(F.collect_set("key")).alias("keys")).groupBy("keys").agg(F.count("*").alias("files"))
+    sets = materialise(sets, "files-by-text")
+    cut = _windows(named.select("suffix", "text").distinct().select(key.alias("file"), "text"), width, step)
+    cut = materialise(cut.select(F.col("file").alias("key"), F.explode(F.array_distinct("windows.hash")).alias("hash")), "windows-by-text")
+    one = sets.filter("size(keys) = 1").select(F.col("keys")[0].alias("key"), "files").join(cut, "key").select("hash", "files")
+    more = sets.filter("size(keys) > 1").select("keys", "files", F.explode("keys").alias("key")).join(cut, "key").select("keys", "files", "hash").distinct().select("hash", "files")
+    return one.unionByName(more).groupBy("hash").agg(F.sum("files").alias("copies"))
