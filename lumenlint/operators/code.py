@@ -1,7 +1,7 @@
 """Facts of source files as relations: one pass of the parser per file, all relations out of its table.
 
 Files are dealt evenly by a hash of their path before parsing, so that a folder of large files isn't one task. A process
-cuts a text that comes again into windows once, as long as it keeps it; every file gets its rows either way.
+parses a text that comes again once, as long as it keeps it; every file gets its rows either way.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import posixpath
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,16 +87,22 @@ def _per_file(batches: Iterator[pa.RecordBatch], read: Callable[[str, str], dict
 def _reader(limits: dict[str, int] | None):
     names = {k: [c.split(" ")[0] for c in v.split(", ")] for k, v in SHAPES.items()}
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                rows = []
-                for file, text in zip(pdf["file"].iloc[at : at + 64], pdf["text"].iloc[at : at + 64]):
-                    got = facts(file, text or "", limits)
-                    got["edges"] = [(*e, relative(file, e[0])) for e in got["edges"]]
-                    got["flows"] = [(*f, relative(file, f[8])) for f in got["flows"]]
-                    rows.append({"file": file} | {k: [dict(zip(names[k], r)) for r in got[k]] for k in SHAPES})
-                yield pd.DataFrame(rows)
+    def parsed(file: str, text: str) -> dict:
+        got = facts(file, text, limits)
+        return {"got": got, "local": any(x.startswith(".") for x in [*(e[0] for e in got["edges"]), *(f[8] for f in got["flows"])]), "row": None}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Kept(parsed)
+
+        def row(file: str, text: str) -> dict[str, list[dict]]:
+            one = kept(file, text)
+            where = posixpath.dirname(file) if one["local"] else ""  # relative imports lead elsewhere from another folder
+            if one["row"] is None or one["row"][0] != where:
+                got = one["got"] | {"edges": [(*e, relative(file, e[0])) for e in one["got"]["edges"]], "flows": [(*f, relative(file, f[8])) for f in one["got"]["flows"]]}
+                one["row"] = where, {k: [dict(zip(names[k], r)) for r in got[k]] for k in SHAPES}
+            return one["row"][1]
+
+        yield from _per_file(batches, row, SHAPES)
 
     return read
 
@@ -111,7 +116,7 @@ def _dealt(files: DataFrame) -> DataFrame:
 
 def code_facts(files: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """file and an array of structs for each relation of SHAPES, in the shared folder. files: file, text; null texts are empty."""
-    return materialise(_dealt(files).mapInPandas(_reader(limits), _schema(SHAPES)), "code-facts")
+    return materialise(_dealt(files).mapInArrow(_reader(limits), _schema(SHAPES)), "code-facts")
 
 
 def relation(read: DataFrame, name: str) -> DataFrame:

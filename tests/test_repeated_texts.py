@@ -36,3 +36,15 @@ def test_what_is_kept_is_bounded(monkeypatch):
         assert read("a.ts", f"{i:200d}") == f"{i:200d}"
         assert read.size <= 1000 and len(read.kept) <= 3
     assert read("a.ts", "y" * 5000) == "y" * 5000 and read.size == 0
+
+
+def test_equal_texts_are_parsed_once_and_imports_follow_their_folder(monkeypatch):
+    calls, real = [], C.facts
+    monkeypatch.setattr(C, "facts", lambda *a: calls.append(a[0]) or real(*a))
+    text = "import { g } from './g';\nexport function f(a) {\n  return g(a);\n}\n"
+    files = [f"d{i % 3}/f{i}.ts" for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"file": files, "text": [text] * 300})
+    rows = [r for b in C._reader(None)(iter([batch])) for r in b.to_pylist()]
+    assert [r["file"] for r in rows] == files and calls == files[:1]
+    assert [[e["path"] for e in r["edges"]] for r in rows] == [[f"d{i % 3}/g"] for i in range(300)]
+    assert all(len(r["functions"]) == 1 and r["functions"][0]["lines"] == 3 for r in rows)
