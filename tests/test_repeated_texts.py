@@ -1,10 +1,10 @@
 """Texts that come again are parsed once; every file still gets its own rows."""
 
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from lumenlint.operators import code as C
+from lumenlint.plans.scan import function_measures
 
 ADD = "export function add(a, b) { const c = a + b; return c * c; }\n"
 MORE = ADD + "export const twice = (x) => add(x, x) + add(x, 1);\n"
@@ -48,3 +48,14 @@ def test_equal_texts_are_parsed_once_and_imports_follow_their_folder(monkeypatch
     assert [r["file"] for r in rows] == files and calls == files[:1]
     assert [[e["path"] for e in r["edges"]] for r in rows] == [[f"d{i % 3}/g"] for i in range(300)]
     assert all(len(r["functions"]) == 1 and r["functions"][0]["lines"] == 3 for r in rows)
+
+
+def test_measures_count_every_file_of_equal_texts(spark, monkeypatch):
+    files = spark.createDataFrame([(f"d{i}/f{i}.ts", ADD) for i in range(40)] + [(f"e{i}.ts", MORE) for i in range(10)], "file string, text string")
+    got = function_measures(C.relation(C.code_facts(files), "functions")).first()
+    assert (got["functions"], got["mean_lines"], got["low"]) == (60, 1.0, 60)
+    calls, real = [], C.facts
+    monkeypatch.setattr(C, "facts", lambda *a: calls.append(a[0]) or real(*a))
+    batch = pa.RecordBatch.from_pydict({"file": [f"e{i}.ts" for i in range(10)], "text": [MORE] * 10})
+    rows = [r for b in C._reader(None)(iter([batch])) for r in b.to_pylist()]
+    assert [len(r["functions"]) for r in rows] == [2] * 10 and calls == ["e0.ts"]
