@@ -76,6 +76,24 @@ def test_closure(spark):
     assert G.closure(spark.createDataFrame([*line, ("z", "z")], "src string, dst string")).count() == 20 * 21 // 2 + 1
 
 
+@pytest.mark.parametrize("walked", [0, 1000])
+def test_closure_walked_and_by_joins(spark, walked):
+    """A ring with a tail into it, shared targets, a loop, no way on from null, and a node that only comes last."""
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("t", "a"), ("u", "a"), ("v", "a"), ("v", "z"), ("z", "z"), ("c", None), (None, "end"), ("a", "b")]
+    ring = {"a", "b", "c", None}
+    want = {(s, d) for s in "abctuv" for d in ring} | {("v", "z"), ("z", "z"), (None, "end")}
+    got = [(r.src, r.dst) for r in G.closure(spark.createDataFrame(edges, "src string, dst string"), walked=walked).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_closure_of_a_long_line_takes_no_rounds(spark, monkeypatch):
+    made, real = [], G.materialise
+    monkeypatch.setattr(G, "materialise", lambda df, name: made.append(name) or real(df, name))
+    line = spark.createDataFrame([(i, i + 1) for i in range(400)], "src long, dst long")
+    assert G.closure(line).count() == 400 * 401 // 2 and len(made) <= 2
+    assert G.closure(line.filter("src < 0")).count() == 0
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_rings_of_several_kinds(spark, small):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("g", "a"), ("e", "h")], "src string, dst string")
