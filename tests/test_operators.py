@@ -65,6 +65,12 @@ def test_external_findings_confirm_secrets(spark):
     assert sorted((r.rule_id, r.confidence, r.line) for r in FD.merge_external(own, tool).collect()) == [("EXT", "CERTAIN", 4), ("SEC001", "HIGH", 3), ("SEC002", "LOW", 3)]
 
 
+def test_repeats_at_one_place_are_numbered_alike_in_any_order(spark):
+    rows = [finding("SEC001", severity=s, confidence=c) for s, c in (("LOW", "HIGH"), ("CRITICAL", "LOW"), ("CRITICAL", "HIGH"), ("INFO", "HIGH"))]
+    numbered = lambda some: {(r.severity, r.confidence): r.id[12:] for r in FD.number_repeats(FD.fingerprint(spark.createDataFrame(some, FINDING).coalesce(1))).collect()}
+    assert numbered(rows) == numbered(rows[::-1]) == {("CRITICAL", "HIGH"): "", ("INFO", "HIGH"): "-2", ("LOW", "HIGH"): "-3", ("CRITICAL", "LOW"): "-4"}
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_components_by_joins_and_in_one_task(spark, small):
     edges = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (5, 5), (8, 7), (3, 1)], "u long, v long")
