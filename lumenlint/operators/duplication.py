@@ -2,6 +2,7 @@
 
 Windows are hashed where their file is, so only (hash, file, start) shuffles. A hash that very many files hold is cut to
 a star from its first file (a window's first value, which is map-side combined), never to all pairs.
+Nearly all hashes are unique, so what a task holds of them is bounded by dealing them over tasks in the input's proportion.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.state import materialise
 
 WIDTH, STEP = 60, 5
+PART = 8_000_000  # characters whose windows a task holds: 800,000 windows of single letters, mostly some 250,000
+SALTS = 64  # tasks over which the places of one hash are dealt
 
 
 def windows(files: DataFrame, tokens: Column, width: int = WIDTH, step: int = STEP) -> DataFrame:
@@ -33,9 +36,20 @@ def windows(files: DataFrame, tokens: Column, width: int = WIDTH, step: int = ST
     return each.select("file", F.col("x.start").cast("int").alias("start"), F.unhex(F.concat(half(), half(F.lit(1)))).alias("hash"))
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """hash, copies (files), places, of hashes in two files or more."""
-    return found.groupBy("hash").agg(F.countDistinct("file").alias("copies"), F.count("*").alias("places")).filter("copies > 1")
+def parts(files: DataFrame) -> int:
+    """Over how many tasks the windows of files (text) are to be dealt. Reads all texts once, but doesn't cut them."""
+    characters = files.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    return max(files.sparkSession.sparkContext.defaultParallelism, -(-characters // PART))
+
+
+def repeated(found: DataFrame, tasks: int) -> DataFrame:
+    """hash, copies (files), places, of hashes in two files or more. tasks: as `parts` counts them.
+
+    Places are counted where a hash's share of files is, without a table of all windows before the shuffle; shares are added up.
+    """
+    shared = found.select("hash", "file", F.pmod(F.xxhash64("file"), F.lit(SALTS)).alias("salt")).repartition(tasks, "hash", "salt")
+    share = shared.groupBy("hash", "salt", "file").agg(F.count("*").alias("places")).groupBy("hash", "salt").agg(F.count("file").alias("copies"), F.sum("places").alias("places"))
+    return share.drop("salt").repartition(tasks, "hash").groupBy("hash").agg(F.sum("copies").alias("copies"), F.sum("places").alias("places")).filter("copies > 1")
 
 
 def star_pairs(found: DataFrame) -> DataFrame:

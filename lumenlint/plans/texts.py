@@ -151,7 +151,7 @@ QUERIES = {
     "file_kind": lambda s, d: findings(s, d).select("file").distinct().select("file", P.kind_of(F.col("file")).alias("kind")),
     "test_file": lambda s, d: findings(s, d).select("file").distinct().filter(P.is_test(F.col("file"))),
     "generated_by_shape": _shaped,
-    "dup_windows": lambda s, d: D.repeated(_windows(s, d)).groupBy("copies").agg(F.count("*").alias("windows"), F.sum("places").alias("places")),
+    "dup_windows": lambda s, d: D.repeated(_windows(s, d), D.parts(_docs(s, d))).groupBy("copies").agg(F.count("*").alias("windows"), F.sum("places").alias("places")),
     "dup_pairs": lambda s, d: D.star_pairs(_windows(s, d)),
     "dup_islands": lambda s, d: D.islands(D.star_pairs(_windows(s, d))),
     "dup_clusters": _clusters,

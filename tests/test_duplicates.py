@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lumenlint.operators import duplication as D
 from lumenlint.plans.scan import duplicate_findings
 
@@ -22,3 +24,14 @@ def test_overlapping_blocks_are_one_place(spark):
     blocks = [("a", 1, 9), ("a", 9, 12), ("a", 3, 4), ("a", 13, 20), ("b", 5, 6)]
     got = {(r["file"], r["from"]): r["place"] for r in D.places(spark.createDataFrame(blocks, "file string, `from` int, `to` int")).collect()}
     assert got == {("a", 1): 1, ("a", 9): 1, ("a", 3): 1, ("a", 13): 13, ("b", 5): 5}
+
+
+def test_repeats_are_counted_over_as_many_tasks_as_the_texts_take(spark, monkeypatch):
+    monkeypatch.setattr(D, "PART", 1000)
+    files = spark.createDataFrame([(i, None if i == 7 else "x" * 100) for i in range(300)], "file long, text string")
+    assert D.parts(files) == 30 and D.parts(files.filter("file < 0")) == spark.sparkContext.defaultParallelism
+    found = spark.range(6000).select((F.col("id") % 300).alias("file"), F.col("id").cast("int").alias("start"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 2500).cast("string")).cast("binary").alias("hash"))
+    got = D.repeated(found, D.parts(files))
+    assert got.rdd.getNumPartitions() == 30
+    want = found.groupBy("hash").agg(F.countDistinct("file").alias("copies"), F.count("*").alias("places")).filter("copies > 1")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
