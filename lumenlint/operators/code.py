@@ -1,7 +1,8 @@
 """Facts of source files as relations: one pass of the parser per file, all relations out of its table.
 
 Files are dealt evenly by a hash of their path before parsing, so that a folder of large files isn't one task. A process
-parses a text that comes again once, as long as it keeps it; every file gets its rows either way.
+parses a text that comes again once, as long as it keeps it; every file gets its rows either way. What only counts files
+takes each distinct text once in the whole job, with the number of files that hold it.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ WINDOWS = {"windows": "start int, line int, last int, hash string"}
 KEPT = 1 << 20  # characters of texts; their facts take some tens of MB
 
 
-def _schema(shapes: dict[str, str]) -> str:
-    return "file string, " + ", ".join(f"{k} array<struct<{', '.join(c.replace(' ', ': ') for c in v.split(', '))}>>" for k, v in shapes.items())
+def _schema(shapes: dict[str, str], first: str = "file string") -> str:
+    return f"{first}, " + ", ".join(f"{k} array<struct<{', '.join(c.replace(' ', ': ') for c in v.split(', '))}>>" for k, v in shapes.items())
 
 
 def relative(file: str, target: str) -> str | None:
@@ -66,12 +67,12 @@ class Kept:
 
 
 def _per_file(batches: Iterator[pa.RecordBatch], read: Callable[[str, str], dict[str, list[dict]]], shapes: dict[str, str]) -> Iterator[pa.RecordBatch]:
-    """file and an array of structs for each shape. Equal rows are made once for a batch of up to KEPT characters of text."""
+    """The columns but text, and an array of structs for each shape. Equal rows are made once for a batch of up to KEPT characters of text."""
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
     made = pa.schema([(k, pa.list_(pa.struct([(n, kinds[kind]) for n, kind in (c.split(" ") for c in v.split(", "))]))) for k, v in shapes.items()])
-    schema = pa.schema([("file", pa.string()), *made])
     for batch in batches:
         files, texts = batch.column("file").to_pylist(), batch.column("text").to_pylist()
+        head = batch.drop_columns(["text"])
         at = 0
         while at < len(files):
             first, which, size, rows = at, [], 0, {}
@@ -81,11 +82,11 @@ def _per_file(batches: Iterator[pa.RecordBatch], read: Callable[[str, str], dict
                 size += len(texts[at] or "")
                 at += 1
             once = pa.RecordBatch.from_pylist([row for _, row in rows.values()], made)
-            yield pa.RecordBatch.from_arrays([pa.array(files[first:at], pa.string()), *once.take(pa.array(which, pa.int32())).columns], schema=schema)
+            yield pa.RecordBatch.from_arrays([*head.slice(first, at - first).columns, *once.take(pa.array(which, pa.int32())).columns], schema=pa.schema([*head.schema, *made]))
 
 
-def _reader(limits: dict[str, int] | None):
-    names = {k: [c.split(" ")[0] for c in v.split(", ")] for k, v in SHAPES.items()}
+def _reader(limits: dict[str, int] | None, shapes: dict[str, str] = SHAPES):
+    names = {k: [c.split(" ")[0] for c in v.split(", ")] for k, v in shapes.items()}
 
     def parsed(file: str, text: str) -> dict:
         got = facts(file, text, limits)
@@ -99,24 +100,37 @@ def _reader(limits: dict[str, int] | None):
             where = posixpath.dirname(file) if one["local"] else ""  # relative imports lead elsewhere from another folder
             if one["row"] is None or one["row"][0] != where:
                 got = one["got"] | {"edges": [(*e, relative(file, e[0])) for e in one["got"]["edges"]], "flows": [(*f, relative(file, f[8])) for f in one["got"]["flows"]]}
-                one["row"] = where, {k: [dict(zip(names[k], r)) for r in got[k]] for k in SHAPES}
+                one["row"] = where, {k: [dict(zip(names[k], r)) for r in got[k]] for k in shapes}
             return one["row"][1]
 
-        yield from _per_file(batches, row, SHAPES)
+        yield from _per_file(batches, row, shapes)
 
     return read
 
 
-def _dealt(files: DataFrame) -> DataFrame:
-    """Files over as many tasks as the session shuffles to. Parsing is slow for its bytes, so small partitions aren't joined."""
+def _dealt(files: DataFrame, by: str | Column) -> DataFrame:
+    """Files, by a hash of this column, over as many tasks as the session shuffles to. Parsing is slow for its bytes, so small partitions aren't joined."""
     spark = files.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return files.select("file", "text").repartition(parts, "file")
+    return files.repartition(parts, by)
 
 
 def code_facts(files: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """file and an array of structs for each relation of SHAPES, in the shared folder. files: file, text; null texts are empty."""
-    return materialise(_dealt(files).mapInArrow(_reader(limits), _schema(SHAPES)), "code-facts")
+    return materialise(_dealt(files.select("file", "text"), "file").mapInArrow(_reader(limits), _schema(SHAPES)), "code-facts")
+
+
+def functions_by_text(files: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """files and the columns of the relation functions: each distinct text is parsed once, files says how many files hold it.
+
+    Files are counted by their text before texts are dealt, so neither rows per file nor the other relations leave the JVM or are written.
+    """
+    read = F.when(F.contains("file", F.lit(".")), F.concat(F.lit("."), F.substring_index("file", ".", -1))).otherwise(F.col("file"))  # all that the parser takes of a path
+    texts = files.select(read.alias("file"), F.coalesce("text", F.lit("")).alias("text")).groupBy("file", "text").agg(F.count("*").alias("files"))
+    shapes = {"functions": SHAPES["functions"]}
+    dealt = _dealt(texts, F.xxhash64("file", "text"))  # not by the grouping's own columns: its partitions would stay, and small ones be joined
+    made = dealt.mapInArrow(_reader(limits, shapes), _schema(shapes, "file string, files long"))
+    return made.select("files", F.explode("functions").alias("r")).select("files", "r.*")
 
 
 def relation(read: DataFrame, name: str) -> DataFrame:
@@ -174,7 +188,7 @@ def _cutter(width: int, step: int):
 
 
 def _windows(files: DataFrame, width: int, step: int) -> DataFrame:
-    return _dealt(files).mapInArrow(_cutter(width, step), _schema(WINDOWS))
+    return _dealt(files.select("file", "text"), "file").mapInArrow(_cutter(width, step), _schema(WINDOWS))
 
 
 def code_windows(files: DataFrame, width: int = WIDTH, step: int = 5) -> DataFrame:

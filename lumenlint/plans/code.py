@@ -156,7 +156,7 @@ def _baseline(spark, sf):
 
 QUERIES = {
     "js_findings": _js_findings,
-    "js_function_measures": lambda s, d: function_measures(C.relation(C.code_facts(event_files(s, d)), "functions")),
+    "js_function_measures": lambda s, d: function_measures(C.functions_by_text(event_files(s, d))),
     "js_clones": lambda s, d: C.code_copies(event_files(s, d), width=8, step=1).groupBy().agg(F.count("*").alias("hashes"), F.max("copies").alias("most")),
     "fn_complexity": _measured,
     "taint_flows": _flows,

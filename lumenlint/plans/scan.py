@@ -230,6 +230,11 @@ def scan(files: DataFrame, config: dict | None = None, installed: bool = False,
 
 
 def function_measures(functions: DataFrame) -> DataFrame:
-    """One row: functions, mean_lines, and how many are of low (up to 10), medium (up to 25) and high complexity."""
-    c = F.col("cyclomatic")
-    return functions.agg(F.count("*").alias("functions"), F.coalesce(F.round(F.avg("lines"), 6), F.lit(0.0)).alias("mean_lines"), F.count(F.when(c <= 10, 1)).alias("low"), F.count(F.when((c > 10) & (c <= 25), 1)).alias("medium"), F.count(F.when(c > 25, 1)).alias("high"))
+    """One row: functions, mean_lines, and how many are of low (up to 10), medium (up to 25) and high complexity.
+
+    A row counts as often as files says, where functions has that column.
+    """
+    c, n = F.col("cyclomatic"), F.col("files") if "files" in functions.columns else F.lit(1).cast("long")
+    count = lambda of: F.coalesce(F.sum(F.when(of, n)), F.lit(0).cast("long"))
+    mean = F.coalesce(F.round(F.sum(F.col("lines") * n) / F.sum(n), 6), F.lit(0.0))
+    return functions.agg(count(F.lit(True)).alias("functions"), mean.alias("mean_lines"), count(c <= 10).alias("low"), count((c > 10) & (c <= 25)).alias("medium"), count(c > 25).alias("high"))

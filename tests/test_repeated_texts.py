@@ -1,9 +1,12 @@
 """Texts that come again are parsed once; every file still gets its own rows."""
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumenlint.operators import code as C
+from lumenlint.plans.code import QUERIES
 from lumenlint.plans.scan import function_measures
 
 ADD = "export function add(a, b) { const c = a + b; return c * c; }\n"
@@ -59,3 +62,48 @@ def test_measures_count_every_file_of_equal_texts(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"file": [f"e{i}.ts" for i in range(10)], "text": [MORE] * 10})
     rows = [r for b in C._reader(None)(iter([batch])) for r in b.to_pylist()]
     assert [len(r["functions"]) for r in rows] == [2] * 10 and calls == ["e0.ts"]
+
+
+def test_functions_by_text_are_those_of_all_files(spark):
+    more = [("ts", "function f(a: any) { return a; }\n"), ("d.x/plain", ADD), ("A.TS", ADD), ("a.js", "const f = <T>(y: T) => y;\n"), ("twice.js", "function f() {\n  return 1;\n}\nfunction g(a) { return a ? f() : 1; }\n")]
+    files = spark.createDataFrame(FILES + more, "file string, text string")
+    every, once = C.relation(C.code_facts(files), "functions"), C.functions_by_text(files)
+    columns = every.columns[1:]
+    want = {tuple(r): r["count"] for r in every.groupBy(*columns).count().select(*columns, "count").collect()}
+    got = {tuple(r): r["count"] for r in once.groupBy(*columns).agg(F.sum("files").alias("count")).select(*columns, "count").collect()}
+    assert got == want
+    assert function_measures(once).collect() == function_measures(every).collect()
+    none = spark.createDataFrame([("bad.ts", "function ("), ("none.ts", None)], files.schema)
+    assert tuple(function_measures(C.functions_by_text(none)).first()) == (0, 0.0, 0, 0, 0)
+
+
+def test_measures_take_each_text_of_the_table_once(spark, monkeypatch, tmp_path):
+    """Over many tasks, not one process: rows that reach the parser are written down."""
+    real, seen = C._reader, tmp_path / "seen"
+    seen.mkdir()
+
+    def counting(*a):
+        def read(batches):
+            def told():
+                for batch in batches:
+                    (seen / uuid.uuid4().hex).write_text(str(batch.num_rows))
+                    yield batch
+
+            yield from real(*a)(told())
+
+        return read
+
+    spark.range(4000).withColumnRenamed("id", "event_id").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(C, "_reader", counting)
+    assert tuple(QUERIES["js_function_measures"](spark, str(tmp_path)).first()) == (1500, 2.666667, 1500, 0, 0)
+    assert sum(int(p.read_text()) for p in seen.iterdir()) == 8
+
+
+def test_texts_that_differ_are_dealt_over_all_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)  # as many as the grouping has, whose small partitions are joined
+    try:
+        files = spark.range(400).select(F.concat(F.lit("f"), "id", F.lit(".ts")).alias("file"), F.concat(F.lit(ADD + "// "), F.col("id").cast("string")).alias("text"))
+        assert C.functions_by_text(files).select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
